@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perilattice.functions.cluster import ship_package
 
-from . import exact_dedup, mixing, packing, permutation_index, token_files, toxicity, warc
+from . import exact_dedup, mixing, ngram_join, packing, permutation_index, token_files, toxicity, warc
 from .common import ascii_lower, text_or_empty
 
 
@@ -51,6 +51,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"))
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -61,7 +65,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_packing, op5_mixing, op7_token_files, op10_permutation_index)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_ngram_join, op7_token_files, op10_permutation_index)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -97,4 +101,14 @@ r as (select d.doc_id, d.size, t.source_size, t.target,
   row_number() over (partition by d.source order by d.size desc, d.doc_id nulls last) - 1 as k
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, (floor(u + ratio * (k + 1)::double)::bigint - floor(u + ratio * k::double)::bigint) * size as taken from r""",
+    "op6_ngram_join": f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) end) as s from w),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+hit as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+link as (select hit.a, hit.b from hit join n x on x.doc_id = hit.a join n y on y.doc_id = hit.b where 100 * o >= 75 * (x.n + y.n - o)),
+reach as (select doc_id as a, doc_id as b from w union select reach.a, link.b from reach join link on link.a = reach.b)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id
+from w left join n on n.doc_id = w.doc_id join (select a, min(b) as component_id from reach group by a) c on c.a = w.doc_id""",
 }
