@@ -77,14 +77,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words after lower-casing A-Z, in order; words may have any length."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    b = _LOW[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    sep = _SEP[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], sep, [True])).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+def cut_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's UTF-8 bytes with A-Z lower-cased, and where its words start and end in them."""
+    b = _LOW[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SEP[b], [True])).view(np.int8)))
+    return b, edge[::2], edge[1::2]
+
+
+def hash_cut(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that cut_words found; words may have any length."""
     if not len(start):
         return np.zeros(0, np.uint64)
     # byte value times a power of its offset in the word, summed by word through a running total
@@ -95,6 +96,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mix(total[end] - total[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words after lower-casing A-Z, in order."""
+    return hash_cut(*cut_words(text))
+
+
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     """Hashes of the n-word shingles in order; a shorter sequence is one shingle, an empty one none."""
     if not len(words):

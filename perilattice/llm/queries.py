@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perilattice.functions.cluster import ship_package
 
-from . import exact_dedup, mixing, ngram_join, packing, permutation_index, token_files, toxicity, warc
+from . import exact_dedup, language_model, mixing, ngram_join, packing, permutation_index, token_files, toxicity, warc
 from .common import ascii_lower, text_or_empty
 
 
@@ -60,12 +60,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), fold_of() == 1)
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_ngram_join, op7_token_files, op10_permutation_index)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_ngram_join, op7_token_files, op8_lm_scoring, op10_permutation_index)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
