@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +67,21 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
-_CHUNK = 1 << 16
-_POW = np.ones(_CHUNK, np.uint64)
-np.multiply.accumulate(np.full(_CHUNK - 1, 0x9E3779B97F4A7C15 | 1, np.uint64), out=_POW[1:])
+_BASE = 0x9E3779B97F4A7C15
+_CHUNK = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2^64, up to n - 1."""
+    both = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.ones(n, np.uint64)
+        np.multiply.accumulate(np.full(n - 1, x, np.uint64), out=out[1:])
+        both.append(out)
+    return both[0], both[1]
+
+
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,15 +99,26 @@ def cut_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hash_cut(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words that cut_words found; words may have any length."""
+    """64-bit hashes of the words that cut_words found; words may have any length.
+
+    A word's polynomial hash is a difference of running sums of byte times power of its position, set back to position 0 by
+    the inverse power; long texts go in spans of _CHUNK bytes, or of a word where one is longer.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
-    # byte value times a power of its offset in the word, summed by word through a running total
-    off = np.arange(len(b)) - np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [len(b)]))))
-    np.minimum(off, _CHUNK - 1, out=off)
-    v = (b.astype(np.uint64) + np.uint64(1)) * _POW[off]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
-    return mix(total[end] - total[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if not _TABLE:
+        _TABLE.append(_powers(_CHUNK))
+    out, k = [], 0
+    while k < len(start):
+        j = max(k + 1, int(np.searchsorted(end, start[k] + _CHUNK, "right")))
+        low, size = int(start[k]), int(end[j - 1] - start[k])
+        power, inverse = _TABLE[0] if size <= _CHUNK else _powers(size)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum((b[low : low + size].astype(np.uint64) + np.uint64(1)) * power[:size], out=total[1:])
+        s, e = start[k:j] - low, end[k:j] - low
+        out.append((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        k = j
+    return mix(out[0] if len(out) == 1 else np.concatenate(out))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -101,6 +126,33 @@ def word_hashes(text: str | None) -> np.ndarray:
     return hash_cut(*cut_words(text))
 
 
+def column_words(texts: pa.Array, span: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of a string column, in runs of rows of about `span` bytes.
+
+    Yields (first row, end row, bytes with A-Z lower-cased, word starts, word ends, words before each row and in all); nulls are empty.
+    """
+    wide = pa.types.is_large_string(texts.type)
+    at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+    if texts.null_count:
+        texts = texts.fill_null("")
+        yield from column_words(texts, span)
+        return
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + span, "right")) - 1)
+        own = at[first : last + 1] - at[first]
+        b = _LOW[data[at[first] : at[last]]]
+        inside = ~_SEP[b]
+        before, after = np.concatenate(([False], inside))[: len(b)], np.concatenate((inside, [False]))[1:]
+        cut = own[:-1][own[:-1] < len(b)]
+        before[cut] = False
+        after[cut[cut > 0] - 1] = False
+        start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        yield first, last, b, start, end, np.searchsorted(start, own)
+        first = last
+
+
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     """Hashes of the n-word shingles in order; a shorter sequence is one shingle, an empty one none."""
     if not len(words):

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_words, hash_cut, materialize, mix
+from .common import column_words, hash_cut, materialize, mix
 
 UID = "__x8_uid"
 END = np.uint64(0xE4D)  # the end token
 START = np.uint64(0x57A27)  # stands before a text
-CLASSES = 64
+CLASSES = 32
 #: Hashed rows of the features: word before, word before that (skip), both (n-gram); one more row is the bias.
 ROWS = (2048, 1024, 1024)
 TOTAL = sum(ROWS) + 1
@@ -23,83 +23,70 @@ BLOCKS = 16
 RATE = 0.5
 
 
-def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words and the end token, and their classes.
+def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of a column's texts in runs of rows: first row, end row, where each row starts, hashes, classes and features.
 
     A word's class is a hash of its last two bytes, so a word never seen has one too; the end token is alone in class 0.
+    Features are the rows of the word before, the word before that, and both, by token.
     """
-    b, start, end = cut_words(text)
-    h = np.append(hash_cut(b, start, end), END)
-    tail = b[end - 1].astype(np.uint64) * np.uint64(256) + np.where(end - start > 1, b[np.maximum(end - 2, 0)], 0).astype(np.uint64) if len(start) else np.zeros(0, np.uint64)
-    return h, np.append(1 + (mix(tail + np.uint64(77)) % np.uint64(CLASSES - 1)).astype(np.int64), 0)
-
-
-def context(h: np.ndarray) -> np.ndarray:
-    """Rows of the three hashed features of each token of a text."""
-    one = np.concatenate(([START], h[:-1]))
-    two = np.concatenate(([START, START], h[:-2]))[: len(h)]
-    first = (mix(one ^ np.uint64(0xA1)) % np.uint64(ROWS[0])).astype(np.int32)
-    skip = (mix(two ^ np.uint64(0xB2)) % np.uint64(ROWS[1])).astype(np.int32) + ROWS[0]
-    both = (mix(mix(two ^ np.uint64(0xC3)) + one) % np.uint64(ROWS[2])).astype(np.int32) + ROWS[0] + ROWS[1]
-    return np.column_stack([first, skip, both])
+    for first, last, b, start, end, before in column_words(texts):
+        n = last - first
+        row = before + np.arange(n + 1)
+        word = np.ones(row[-1], bool)
+        word[row[1:] - 1] = False
+        h, c = np.full(row[-1], END), np.zeros(row[-1], np.int64)
+        h[word] = hash_cut(b, start, end)
+        if len(start):
+            tail = b[end - 1].astype(np.uint64) * np.uint64(256) + np.where(end - start > 1, b[end - 2], 0)
+            c[word] = 1 + (mix(tail + np.uint64(77)) % np.uint64(CLASSES - 1)).astype(np.int64)
+        one, two = np.roll(h, 1), np.roll(h, 2)
+        one[row[:-1]] = START
+        two[row[:-1]] = START
+        two[np.minimum(row[:-1] + 1, len(h) - 1)[np.diff(row) > 1]] = START
+        f = np.empty((3, len(h)), np.int64)
+        f[0] = mix(one ^ np.uint64(0xA1)) & np.uint64(ROWS[0] - 1)
+        f[1] = (mix(two ^ np.uint64(0xB2)) & np.uint64(ROWS[1] - 1)) + np.uint64(ROWS[0])
+        f[2] = (mix(mix(two ^ np.uint64(0xC3)) + one) & np.uint64(ROWS[2] - 1)) + np.uint64(ROWS[0] + ROWS[1])
+        yield first, last, row, h, c, f
 
 
 def softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[:, 0]]
-    z += w[f[:, 1]]
-    z += w[f[:, 2]]
-    z += w[-1]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    """Probabilities by class and token; w is by class and row."""
+    z = w.take(f[0], axis=1)
+    z += w.take(f[1], axis=1)
+    z += w.take(f[2], axis=1)
+    z += w[:, -1:]
+    np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+    z /= z.sum(axis=0)
     return z
 
 
 def update(w: np.ndarray, seen: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
     """One gradient step on a batch; a row's step falls with the tokens that it has met."""
     g = softmax(w, f)
-    g[np.arange(len(y)), y] -= 1
+    g[y, np.arange(len(y))] -= 1
     for k in range(3):
-        by = np.argsort(f[:, k], kind="stable")
-        rows = f[by, k]
+        by = np.argsort(f[k].astype(np.uint16), kind="stable")
+        rows = f[k][by]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         own = rows[first]
         seen[own] += np.diff(np.append(first, len(rows)))
-        w[own] -= (RATE / np.sqrt(seen[own] + 8.0)).astype(np.float32)[:, None] * np.add.reduceat(g[by], first, axis=0)
+        w[:, own] -= np.add.reduceat(g.take(by, axis=1), first, axis=1) * (RATE / np.sqrt(seen[own] + 8.0)).astype(np.float32)
     seen[-1] += len(y)
-    w[-1] -= np.float32(RATE / np.sqrt(seen[-1] + 8.0)) * g.sum(axis=0)
+    w[:, -1] -= np.float32(RATE / np.sqrt(seen[-1] + 8.0)) * g.sum(axis=1)
 
 
 _LEARNT = pa.schema([("kind", pa.int32()), ("word", pa.int64()), ("cls", pa.int32()), ("count", pa.int64()), ("data", pa.binary())])
 _SCORED = pa.schema([("kind", pa.int32()), (UID, pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("word", pa.int64())])
 
 
-class Batches:
-    """Texts' tokens gathered into batches of about BATCH."""
-
-    def __init__(self):
-        self.h, self.c, self.f, self.size = [], [], [], 0
-
-    def add(self, h: np.ndarray, c: np.ndarray) -> bool:
-        self.h.append(h)
-        self.c.append(c)
-        self.f.append(context(h))
-        self.size += len(h)
-        return self.size >= BATCH
-
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = np.concatenate(self.h), np.concatenate(self.c), np.concatenate(self.f)
-        self.__init__()
-        return out
-
-
 def learn(weights: np.ndarray | None, held: int = 4_000_000):
     """Counts of words with their class (kind 0), and the weights after the task's gradient steps in blocks (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros((TOTAL, CLASSES), np.float32) if weights is None else weights.astype(np.float32)
-        seen, total, got = np.zeros(TOTAL), 0, Batches()
-        words, classes, size = [], [], 0
+        w = np.zeros((CLASSES, TOTAL), np.float32) if weights is None else weights.astype(np.float32)
+        seen, total, size = np.zeros(TOTAL), 0, 0
+        words, classes = [], []
 
         def counts() -> pa.RecordBatch:
             h, at, n = np.unique(np.concatenate(words), return_index=True, return_counts=True)
@@ -107,27 +94,17 @@ def learn(weights: np.ndarray | None, held: int = 4_000_000):
             m = len(h)
             return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64)), pa.nulls(m, pa.binary())], schema=_LEARNT)
 
-        def step() -> None:
-            h, c, f = got.take()
-            for k in range(0, len(c), BATCH):
-                update(w, seen, f[k : k + BATCH], c[k : k + BATCH])
-            words.append(h)
-            classes.append(c)
-
         for batch in batches:
-            for text in batch.column(0):
-                h, c = tokens(text.as_py())
+            for _, _, _, h, c, f in tokens(batch.column(0)):
+                for k in range(0, len(c), BATCH):
+                    update(w, seen, f[:, k : k + BATCH], c[k : k + BATCH])
+                words.append(h)
+                classes.append(c)
                 total += len(h)
                 size += len(h)
-                if got.add(h, c):
-                    step()
                 if size >= held:
-                    if got.size:
-                        step()
                     yield counts()
                     words, classes, size = [], [], 0
-        if got.size:
-            step()
         if words:
             yield counts()
         if total:
@@ -177,7 +154,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         mean = "word long, count long, data binary, wide boolean"
         blocks = blocks.mapInArrow(average, mean).repartition(BLOCKS, "word").mapInArrow(average, mean)
         got = {r.word: r.data for r in blocks.collect()}  # BLOCKS rows, the size of the model
-        weights = np.concatenate([np.frombuffer(got[k], "<f4").reshape(-1, CLASSES) for k in range(BLOCKS)]) if got else np.zeros((TOTAL, CLASSES), np.float32)
+        weights = np.concatenate([np.frombuffer(got[k], "<f4").reshape(-1, TOTAL) for k in range(BLOCKS)]) if got else np.zeros((CLASSES, TOTAL), np.float32)
 
     by_class = {r.cls: r for r in counts.groupBy("cls").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
     n_all, v_all = sum(r.n for r in by_class.values()), sum(r.v for r in by_class.values())
@@ -189,26 +166,16 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         w, share, names, numbers = shared.value
         logs = np.append(np.log10(numbers + 0.5), 0.0)
         for batch in batches:
-            texts = batch.column(3)
             uid, doc, out = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            done = 0
-            while done < len(texts):
-                got, sizes, first = Batches(), [], done
-                while done < len(texts):
-                    h, c = tokens(texts[done].as_py())
-                    sizes.append(len(h))
-                    done += 1
-                    if got.add(h, c):
-                        break
-                h, c, f = got.take()
-                p = np.concatenate([softmax(w, f[k : k + BATCH])[np.arange(len(c[k : k + BATCH])), c[k : k + BATCH]] for k in range(0, len(c), BATCH)])
+            for first, last, row, h, c, f in tokens(batch.column(3)):
+                p = np.concatenate([softmax(w, f[:, k : k + BATCH])[c[k : k + BATCH], np.arange(len(c[k : k + BATCH]))] for k in range(0, len(c), BATCH)])
                 model = np.log10(np.maximum(p.astype(np.float64), 1e-30)) - share[c]
                 word = h.view(np.int64)
                 at = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
                 common = names[at] == word if len(names) else np.zeros(len(word), bool)
-                start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+                start, sizes = row[:-1], np.diff(row)
                 add = lambda x: np.add.reduceat(x, start)
-                m, span = len(sizes), slice(first, done)
+                m, span = last - first, slice(first, last)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(uid[span]), doc[span], out[span], pa.array(np.array(sizes, np.int64)), pa.array(add(common.astype(np.int64))), pa.array(add(np.where(common, logs[np.where(common, at, -1)], 0.0))), pa.array(add(model)), pa.nulls(m, pa.int64())], schema=_SCORED)
                 rare = ~common
                 if rare.any():
