@@ -72,6 +72,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def emit_mix(docs: DataFrame, **kwargs) -> DataFrame:
     """The mix itself: docs' rows, each as often as mix_sources takes it."""
-    plan = mix_sources(docs, **kwargs).filter("copies > 0").select(UID, "copies")
+    plan = mix_sources(docs, **kwargs).where("copies > 0").select(UID, F.col("copies").alias(AT))
     out = docs.withColumn(UID, F.monotonically_increasing_id()).join(plan, UID)
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns) if "copies" not in docs.columns else out.withColumn(UID, F.explode(F.sequence(F.lit(1), plan["copies"].cast("int")))).select(*[docs[c] for c in docs.columns])
+    return out.withColumn(AT, F.explode(F.sequence(F.lit(1), F.col(AT).cast("int")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perilattice.functions.cluster import ship_package
 
-from . import exact_dedup, language_model, mixing, ngram_join, packing, permutation_index, token_files, toxicity, warc
+from . import exact_dedup, language_model, mixing, ngram_join, packing, permutation_index, substring_dedup, token_files, toxicity, warc
 from .common import ascii_lower, text_or_empty
 
 
@@ -64,12 +64,18 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), fold_of() == 1)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """refs: the documents that share a passage of over 50 words with this one, one for each span."""
+    out = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "repeated_words", "spans", F.array_distinct(F.col("spans.ref")).alias("refs"))
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_ngram_join, op7_token_files, op8_lm_scoring, op10_permutation_index)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_ngram_join, op7_token_files, op8_lm_scoring, op9_substring_dedup, op10_permutation_index)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
