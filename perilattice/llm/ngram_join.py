@@ -14,14 +14,14 @@ from .graph import components
 
 UID = "__x6_uid"
 #: Postings that a task holds before it hands them on, and sets in a block of verification.
-HELD, BLOCK = 2_000_000, 256
-#: Groups of at most so many members are compared in full; larger ones by rounds of centres.
-SMALL = 64
+HELD, BLOCK = 500_000, 256
+#: Centres of a group in the second round, and how they grow from round to round.
+CENTRES = 4
 
 
 def slack(n, percent: int):
     """Shingles that both prefixes of a linked pair share at least, for the smaller set's size n; never falls as n grows."""
-    return 1 + n // 10
+    return 1 + n // 5
 
 
 def ceil_part(n, percent: int):
@@ -225,12 +225,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are in one component. An empty table gives an empty result. Other columns are not read.
 
     Rows with equal sets form a class; links are sought between classes, so copies cost nothing. Candidates: (1) each class
-    posts a prefix of its set in hash order, extended so that a linked pair shares at least 1 + n/10 of the posted shingles,
+    posts a prefix of its set in hash order, extended so that a linked pair shares at least 1 + n/5 of the posted shingles,
     n being the smaller size; (2) classes whose prefix holds fewer shared shingles drop out; the others keep their rarest
     shared ones by exact count, by the same argument. (3) Within the classes that share such a shingle, pairs with the smallest
-    class come first; then only pairs between different components so far, in full for up to SMALL members and else in rounds
-    of chosen centres that grow fourfold, until no shingle joins two components. So every link is found or spanned, while a
-    group of near copies costs its size. Verification walks a prefix tree over each centre's partners, in bounded blocks.
+    class come first; then, in rounds, the pairs of about CENTRES, 4 CENTRES, 16 CENTRES ... members with members of other
+    components, until no shingle joins two components that weren't compared. So every link is found or spanned, while a
+    group of near copies costs its size. Centres go by a hash of the class, so a group's shingles choose alike, and no pair
+    is verified twice. Verification walks a prefix tree over each centre's partners, in bounded blocks.
     Classes are named by 64-bit hashes of their sets. docs is read twice and must give its rows in the same order.
     """
     spark = docs.sparkSession
@@ -241,7 +242,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     info = both.where("kind = 0").select(UID, "doc_id", "n", "cls")
     shared = both.where("kind = 1").select("n", "cls", "token", "shared")
 
-    least = F.lit(1) + F.expr(f"((n * {percent} + 99) div 100) div 10")
+    least = F.lit(1) + F.expr(f"((n * {percent} + 99) div 100) div 5")
     kept = shared.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("shared", "token"))).alias("t")).withColumn("least", least).where(F.size("t") >= F.col("least"))
     posts = kept.select("cls", "n", F.explode(F.slice("t", F.lit(1), (F.size("t") - F.col("least") + 1).cast("int"))).alias("t")).select("cls", "n", F.col("t.token").alias("token"))
     posts = materialize(posts, "jaccard-posts")
@@ -259,8 +260,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = materialize(rows.join(wanted, UID).select("cls", "text").mapInArrow(sets_of, "cls long, data binary"), "jaccard-sets")
         first = posts.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("c"))
         pairs = posts.join(first, "token").where((F.col("cls") != F.col("c.cls")) & near(F.col("n"), F.col("c.n"), percent)).select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        pairs = checked = materialize(pairs, "jaccard-pairs")
         links = verify(pairs, sets, percent)
-        centres = SMALL
+        centres = CENTRES
         while True:
             if comps is not None:
                 links = links.union(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -270,10 +272,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             now = materialize(now.join(open_, "token"), "jaccard-open")
             if not now.limit(1).count():
                 break
-            chosen = (F.col("m") <= SMALL) | (F.pmod(F.xxhash64("cls", "token", F.lit(centres)), F.col("m")) < centres)
+            chosen = F.pmod(F.xxhash64("cls", F.lit(17)), F.lit(1 << 30)) * F.col("m") < F.lit(centres << 30)
             mid = now.where(chosen).select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "token")
-            pairs = now.join(mid, "token").where((F.col("root") != F.col("ra")) & near(F.col("n"), F.col("na"), percent) & ((F.col("m") > SMALL) | (F.col("a") < F.col("cls"))))
+            pairs = now.join(mid, "token").where((F.col("root") != F.col("ra")) & near(F.col("n"), F.col("na"), percent))
             pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+            pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+            checked = checked.union(pairs)
             links = materialize(verify(pairs, sets, percent), "jaccard-links")
             posts = materialize(now.where(~chosen).select("cls", "n", "token"), "jaccard-alive")
             centres *= 4
