@@ -18,10 +18,12 @@ def pairs(atoms: DataFrame, frames: DataFrame, rcut: float, ordered: bool = Fals
     for k, name in enumerate("xyz"):
         f = f.withColumn(f"n{name}", F.greatest(F.lit(1), F.floor(F.col(f"d{k}") / rcut)).cast("int"))
         f = f.withColumn(f"b{name}", F.least(F.floor(wrap(F.col(f"f{name}")) * F.col(f"n{name}")).cast("int"), F.col(f"n{name}") - 1))
+    # coordinates are computed once and atoms dealt evenly; the join then deals by cell
+    f = f.select(*KEY, "aid", "element", "fx", "fy", "fz", *CELL, "volume", "nx", "ny", "nz", "bx", "by", "bz").repartition(int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, "aid")
     own = f.select(*KEY, F.col("aid").alias("b"), F.col("element").alias("el_b"), *[F.col(f"f{x}").alias(f"g{x}") for x in "xyz"], "bx", "by", "bz")
     near = f.select(*KEY, F.col("aid").alias("a"), F.col("element").alias("el_a"), "fx", "fy", "fz", *CELL, "volume", *[F.array_distinct(F.array(*[F.pmod(F.col(f"b{x}") + s, F.col(f"n{x}")) for s in (-1, 0, 1)])).alias(f"s{x}") for x in "xyz"])
     for x in "xyz":
-        near = near.withColumn(f"b{x}", F.explode(f"s{x}"))
+        near = near.withColumn(f"b{x}", F.explode_outer(f"s{x}"))
     both = near.join(own, [*KEY, "bx", "by", "bz"]).where(F.col("a") < F.col("b") if not ordered else F.col("a") != F.col("b"))
     both = both.select(*KEY, "a", "b", "el_a", "el_b", "volume", *CELL, *[nearest_image(F.col(f"g{x}") - F.col(f"f{x}")).alias(f"h{x}") for x in "xyz"])
     both = both.select(*KEY, "a", "b", "el_a", "el_b", "volume", *[cartesian(k, "hx", "hy", "hz").alias(f"d{x}") for k, x in enumerate("xyz")])
