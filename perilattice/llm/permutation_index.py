@@ -16,9 +16,9 @@ def pick_pivots(vectors: DataFrame, n_pivots: int, sample: int, id_col: str, vec
     """Pivots from a sample of at most `sample` rows, chosen by a hash of the id: each next one far from those before (k-centres)."""
     rows = vectors.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).select(vec_col).limit(sample).collect()
     width = max((len(r[0]) for r in rows), default=0)
-    x = np.array([r[0] for r in rows if len(r[0]) == width], dtype=np.float64).reshape(-1, width)
-    if not len(x):
-        return x
+    if not width:
+        return np.zeros((0, 0))
+    x = np.array([r[0] for r in rows if len(r[0]) == width], dtype=np.float64)
     x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
     chosen, near = [0], x @ x[0]
     while len(chosen) < min(n_pivots, len(x)):
