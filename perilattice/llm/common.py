@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word characters: everything but ASCII white space.
@@ -36,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str, *what: Column) -> tuple[DataFrame, dict]:
+    """As materialize, with aggregates of the rows (their count as n, if none are given) taken while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *(what or (F.count(F.lit(1)).alias("n"),))), name)
+    return out, seen.get
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) for a URI, so that executors can reach file:, hdfs:, s3: and similar stores."""
     from pyarrow import fs

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, partitions, shingle_hashes, word_hashes
+from .common import materialize, materialize_counted, mix, partitions, shingle_hashes, word_hashes
 from .graph import components
 
 UID = "__x6_uid"
 #: Postings that a task holds before it hands them on, and sets in a block of verification.
 HELD, BLOCK = 500_000, 256
 #: Centres of a group in the second round, and how they grow from round to round.
-CENTRES = 4
+CENTRES, GROWTH = 8, 8
+#: Columns of a set's signature.
+SIGNS = [f"s{i}" for i in range(8)]
 
 
 def slack(n, percent: int):
@@ -211,9 +215,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near(n_a: Column, n_b: Column, percent: int) -> Column:
-    """Sizes that can link at all."""
-    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+def signature(s: np.ndarray) -> np.ndarray:
+    """64 * len(SIGNS) bits; each is the parity of the shingles that fall on it, so two signatures differ in no more bits than the sets in shingles."""
+    bits = np.bincount((mix(s + np.uint64(0x77)) % np.uint64(64 * len(SIGNS))).astype(np.int64), minlength=64 * len(SIGNS)) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
+def near(n_a: Column, n_b: Column, signs_a: list[Column], signs_b: list[Column], percent: int) -> Column:
+    """Sets that can link by their sizes and signatures: linked ones differ in (100 - percent) / (100 + percent) of their sizes' sum at most."""
+    differ = reduce(add, [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(signs_a, signs_b, strict=True)])
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -227,10 +238,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with equal sets form a class; links are sought between classes, so copies cost nothing. Candidates: (1) each class
     posts a prefix of its set in hash order, extended so that a linked pair shares at least 1 + n/5 of the posted shingles,
     n being the smaller size; (2) classes whose prefix holds fewer shared shingles drop out; the others keep their rarest
-    shared ones by exact count, by the same argument. (3) Within the classes that share such a shingle, pairs with the smallest
-    class come first; then, in rounds, the pairs of about CENTRES, 4 CENTRES, 16 CENTRES ... members with members of other
+    shared ones by exact count, by the same argument; of shingles that the same classes post, one is enough. (3) Within the classes that share such a shingle, pairs with the smallest
+    class come first; then, in rounds, the pairs of about CENTRES members, and GROWTH times as many each round, with members of other
     components, until no shingle joins two components that weren't compared. So every link is found or spanned, while a
-    group of near copies costs its size. Centres go by a hash of the class, so a group's shingles choose alike, and no pair
+    group of near copies costs its size. Pairs whose sizes or signatures (parities of hashed shingles) rule a link out aren't
+    verified. Centres go by a hash of the class, so a group's shingles choose alike, and no pair
     is verified twice. Verification walks a prefix tree over each centre's partners, in bounded blocks.
     Classes are named by 64-bit hashes of their sets. docs is read twice and must give its rows in the same order.
     """
@@ -246,41 +258,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = shared.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("shared", "token"))).alias("t")).withColumn("least", least).where(F.size("t") >= F.col("least"))
     posts = kept.select("cls", "n", F.explode(F.slice("t", F.lit(1), (F.size("t") - F.col("least") + 1).cast("int"))).alias("t")).select("cls", "n", F.col("t.token").alias("token"))
     posts = materialize(posts, "jaccard-posts")
-    alive = posts.groupBy("token").count().where("count > 1").select("token")
-    posts = materialize(posts.join(alive, "token", "left_semi"), "jaccard-alive")
+    # tokens that the same classes post propose the same pairs: one of them stands for all
+    whose = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("f"), F.sum(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 31))).alias("g"))
+    alive = whose.where("m > 1").groupBy("m", "f", "g").agg(F.min("token").alias("token")).select("token")
+    posts, some = materialize_counted(posts.join(alive, "token", "left_semi"), "jaccard-alive")
 
     comps = None
-    if posts.limit(1).count():
+    if some["n"]:
         wanted = info.join(posts.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(UID).alias(UID))
 
         def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())], names=["cls", "data"])
-
-        sets = materialize(rows.join(wanted, UID).select("cls", "text").mapInArrow(sets_of, "cls long, data binary"), "jaccard-sets")
-        first = posts.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("c"))
-        pairs = posts.join(first, "token").where((F.col("cls") != F.col("c.cls")) & near(F.col("n"), F.col("c.n"), percent)).select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).distinct()
+                found = [shingle_set(t.as_py(), words).astype("<u8") for t in batch.column(1)]
+                signs = np.array([signature(s) for s in found], "<i8").reshape(-1, len(SIGNS))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), *map(pa.array, signs.T.copy())], names=["cls", "data", *SIGNS])
+
+        sets = materialize(rows.join(wanted, UID).select("cls", "text").mapInArrow(sets_of, "cls long, data binary, " + ", ".join(f"{c} long" for c in SIGNS)), "jaccard-sets")
+        own, theirs = [F.col(c) for c in SIGNS], [F.col(f"a{c}") for c in SIGNS]
+        posts = materialize(posts.join(sets.select("cls", *SIGNS), "cls"), "jaccard-signed")
+        first = posts.groupBy("token").agg(F.min(F.struct("cls", "n", *SIGNS)).alias("c"))
+        pairs = posts.join(first, "token").where((F.col("cls") != F.col("c.cls")) & near(F.col("n"), F.col("c.n"), own, [F.col(f"c.{c}") for c in SIGNS], percent)).select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).distinct()
         pairs = checked = materialize(pairs, "jaccard-pairs")
-        links = verify(pairs, sets, percent)
+        comps = components(verify(pairs, sets, percent))
         centres = CENTRES
         while True:
-            if comps is not None:
-                links = links.union(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            comps = materialize(components(links), "jaccard-components")
-            now = posts.select("cls", "n", "token").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            now = posts.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
             open_ = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
-            now = materialize(now.join(open_, "token"), "jaccard-open")
-            if not now.limit(1).count():
+            now, some = materialize_counted(now.join(open_, "token"), "jaccard-open")
+            if not some["n"]:
                 break
             chosen = F.pmod(F.xxhash64("cls", F.lit(17)), F.lit(1 << 30)) * F.col("m") < F.lit(centres << 30)
-            mid = now.where(chosen).select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "token")
-            pairs = now.join(mid, "token").where((F.col("root") != F.col("ra")) & near(F.col("n"), F.col("na"), percent))
+            mid = now.where(chosen).select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "token", *[F.col(c).alias(f"a{c}") for c in SIGNS])
+            pairs = now.join(mid, "token").where((F.col("root") != F.col("ra")) & near(F.col("n"), F.col("na"), own, theirs, percent))
             pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-            pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
-            checked = checked.union(pairs)
-            links = materialize(verify(pairs, sets, percent), "jaccard-links")
-            posts = materialize(now.where(~chosen).select("cls", "n", "token"), "jaccard-alive")
-            centres *= 4
+            pairs, some = materialize_counted(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+            if some["n"]:
+                checked = checked.union(pairs)
+                comps = components(verify(pairs, sets, percent).union(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            posts = now.where(~chosen).select("cls", "n", "token", *SIGNS)
+            centres *= GROWTH
 
     named = info.withColumn("key", F.col("cls"))
     if comps is not None:
