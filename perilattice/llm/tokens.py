@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Chunks that a worker remembers, about 200 bytes each; the memo starts anew beyond that.
-MEMO = 1_000_000
+MEMO = 300_000
 #: Fixed values of the tokenizer file: the pattern that cuts pieces.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of printable ASCII and precomposed Latin-1 letters, and SPLIT for their lower-cased form.
