@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import filesystem, materialize, partitions, shared_dir
 from .tokens import encoder, tokenizer_path
 
+#: Chunks that a worker remembers here, beside the sort of whole texts.
+MEMO = 300_000
 #: Stands for a null id in the index.
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part long, stem string, width int, n_docs long, n_tokens long"
@@ -35,7 +37,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), encoder(path)
+        part, enc = TaskContext.get().partitionId(), encoder(path, MEMO)
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)

@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Chunks that a worker remembers, about 200 bytes each; the memo starts anew beyond that.
-MEMO = 300_000
+MEMO = 1_000_000
 #: Fixed values of the tokenizer file: the pattern that cuts pieces.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of printable ASCII and precomposed Latin-1 letters, and SPLIT for their lower-cased form.
@@ -18,7 +18,7 @@ PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-ö
 #: Byte-level alphabet: bytes that are printable in Latin-1 stand for themselves, the others follow from code point 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-_STATE: dict[str, tuple] = {}
+_STATE: dict[tuple[str, int], "Encoder"] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,10 +35,11 @@ class Encoder(dict):
     memo holds it: plain ones by piece through the model, others by the whole pipeline.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.memo = memo
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize, self.pieces = self.tokenizer.model.tokenize, {}
         # the fast path holds for this normaliser and this pattern only
@@ -46,7 +47,7 @@ class Encoder(dict):
         self.plain = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and SPLIT in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
 
     def encode(self, text: str | None) -> np.ndarray:
-        if len(self) > MEMO:
+        if len(self) > self.memo:
             self.clear()
             self.pieces.clear()
         chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -66,11 +67,11 @@ class Encoder(dict):
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; kept between tasks."""
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    """The worker's encoder for a file and a memo's size; kept between tasks."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _STATE:
-        _STATE[path] = Encoder(path)
-    return _STATE[path]
+    if (path, memo) not in _STATE:
+        _STATE[path, memo] = Encoder(path, memo)
+    return _STATE[path, memo]
