@@ -65,9 +65,9 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """refs: the documents that share a passage of over 50 words with this one, one for each span."""
+    """refs: the documents that this one's passages of over 50 words are linked to."""
     out = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "repeated_words", "spans", F.array_distinct(F.col("spans.ref")).alias("refs"))
+    return out.select("doc_id", "n_words", "repeated_words", "spans", F.array_distinct(F.flatten(F.col("spans.refs")).getField("ref")).alias("refs"))
 
 
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

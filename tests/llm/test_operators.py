@@ -199,3 +199,25 @@ def test_permutation_index(spark):
 def test_word_hashes_agree_between_texts():
     a = word_hashes("The quick\tTHE \n" + "y" * 3_000_000 + " quick")
     assert len(a) == 5 and a[0] == a[2] and a[1] == a[4] and len({*a.tolist()}) == 3
+
+
+def passages(spark, texts, **args):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: r for r in substring_dedup.repeated_passages(docs, **args).collect()}
+
+
+def linked(got):
+    return {frozenset((k, x["ref"])) for k, r in got.items() for s in r.spans for x in s["refs"]}
+
+
+def test_repeated_passages_keep_all_links(spark):
+    rng = np.random.default_rng(14)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    p, q, r = own(60), own(60), own(60)
+    x, z = own(50) + p + own(50), own(70) + p + own(10)
+    texts = [x, x, z, z, own(30) + q + r + own(30), own(50) + q + own(5), own(9) + r + own(50)]
+    got = passages(spark, texts)
+    found = linked(got)
+    assert {frozenset((0, 1)), frozenset((2, 3)), frozenset((0, 2)), frozenset((4, 5)), frozenset((4, 6))} <= found
+    assert {x["ref"] for s in got[4].spans for x in s["refs"]} == {5, 6}
+    assert [got[k].repeated_words for k in (0, 2)] == [160, 140] and not found & {frozenset((5, 6)), frozenset((0, 4))}
