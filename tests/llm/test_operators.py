@@ -221,3 +221,14 @@ def test_repeated_passages_keep_all_links(spark):
     assert {frozenset((0, 1)), frozenset((2, 3)), frozenset((0, 2)), frozenset((4, 5)), frozenset((4, 6))} <= found
     assert {x["ref"] for s in got[4].spans for x in s["refs"]} == {5, 6}
     assert [got[k].repeated_words for k in (0, 2)] == [160, 140] and not found & {frozenset((5, 6)), frozenset((0, 4))}
+
+
+def test_repeated_passages_meet_beside_texts_that_hold_parts(spark):
+    rng = np.random.default_rng(13)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    texts, want = [], set()
+    for _ in range(150):
+        p, k = own(52), len(texts)
+        texts += [own(40) + p[:36] + own(40), own(40) + p[16:] + own(40), own(40) + p + own(40), own(40) + p + own(40)]
+        want.add(frozenset((k + 2, k + 3)))
+    assert linked(passages(spark, texts)) == want
