@@ -232,3 +232,30 @@ def test_repeated_passages_meet_beside_texts_that_hold_parts(spark):
         texts += [own(40) + p[:36] + own(40), own(40) + p[16:] + own(40), own(40) + p + own(40), own(40) + p + own(40)]
         want.add(frozenset((k + 2, k + 3)))
     assert linked(passages(spark, texts)) == want
+
+
+def test_repeated_passages_with_a_word_more_or_less(spark):
+    rng = np.random.default_rng(11)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    texts, want = [], set()
+    for size in (52, 55, 60, 70, 80, 120):
+        for _ in range(20):
+            for less, more in ((0, 1), (1, 0), (1, 1)):
+                p, m = own(size), size // 2
+                want.add(frozenset((len(texts), len(texts) + 1)))
+                texts += [own(40) + p + own(33), own(21) + p[:m] + own(more) + p[m + less :] + own(60)]
+    # a shared line of 30 words is no passage
+    line = own(30)
+    texts += [own(90) + line + own(80) for _ in range(3)]
+    got = passages(spark, texts)
+    assert linked(got) == want
+    assert all(abs(r.spans[0]["start"] - (21 if k % 2 else 40)) < 8 for k, r in got.items() if r.spans)
+
+
+def test_repeated_passages_in_a_large_group(spark):
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    p = own(70)
+    texts = [own(40) + p + own(40) for _ in range(80)] + [own(40) + p[:35] + own(1) + p[35:] + own(40) for _ in range(20)] + [own(100) + p[20:50] + own(100) for _ in range(60)]
+    got = passages(spark, texts)
+    assert [k for k in sorted(got) if got[k].repeated_words] == list(range(100))
