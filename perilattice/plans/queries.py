@@ -81,6 +81,7 @@ QUERIES = {
     "select_tail": lambda s, d: selection.select_frames(selection.tail(_traj(s, d)[0], 8), 0, None, 2).select("file", "frame", "aid", "element", "x", "y", "z"),
     "of_elements": lambda s, d: selection.of_elements(_traj(s, d)[0], ["Si"]).groupBy("file", "frame").agg(F.count("*").alias("n")),
     "supercell": lambda s, d: selection.supercell(*map(lambda x: x.where("frame = 0"), _traj(s, d)), 2, 1, 3)[0].select("file", "aid", "element", "x", "y", "z"),
+    "supercell_all_frames": lambda s, d: selection.supercell(*_traj(s, d), 2, 1, 3)[0].select("file", "frame", "aid", "element", "x", "y", "z"),
 }
 
 _A = TRAJ.format(part="part", nation="nation")
@@ -128,6 +129,7 @@ select file, frame, mass, {", ".join(f"round(com_{x}, 6) as com_{x}, size_{x}" f
     "select_tail": f"{_HEAD} select a.file, frame, aid, element, x, y, z from a join nf using (file) where frame >= n - 8 and frame % 2 = 0",
     "of_elements": f"{_HEAD} select file, frame, count(*)::bigint as n from a where (file, aid) in (select (file, aid) from a where frame = 0 and element = 'Si') group by file, frame",
     "supercell": f"{_HEAD}, c as (select file, count(*) as k from a where frame = 0 group by file) select file, (r * k + aid)::bigint as aid, element, x + (r % 2) * 16e0 as x, y, z + floor(r / 2) * 16e0 as z from a join c using (file), (select unnest(range(6)) as r) t where frame = 0",
+    "supercell_all_frames": f"{_HEAD}, c as (select file, frame, count(*) as k from a group by file, frame) select file, frame, (r * k + aid)::bigint as aid, element, x + (r % 2) * 16e0 as x, y, z + floor(r / 2) * 16e0 as z from a join c using (file, frame), (select unnest(range(6)) as r) t",
     "ligand_classes": f"{_NETS}, l as (select a.file, a.frame, a.element, case count(b.former) when 0 then 'f' when 1 then 'n' when 2 then 'b' else 't' end as kind from a left join b on a.file = b.file and a.frame = b.frame and a.aid = b.ligand where a.element = 'O' group by a.file, a.frame, a.aid, a.element) " + _share("l", "kind"),
     "qn_species": f"{_NETS} " + _share("f", "n"),
     "coordination": f"{_NETS} " + _share("f", "cn"),

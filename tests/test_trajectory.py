@@ -54,6 +54,15 @@ def test_selection_and_supercell(spark):
     assert big.count() == 24 and cell.first().m00 == 20.0
 
 
+def test_supercell_query_takes_all_frames(spark):
+    from perilattice.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    parts, nations = (spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("part", "nation"))
+    got = QUERIES["supercell_all_frames"](spark, d)
+    assert got.count() == parts * nations * 6 and got.select("frame").distinct().count() == nations
+
+
 def test_text_round_trip(spark, tmp_path):
     (tmp_path / "a.xyz").write_text("2\nc\nFe 0 0 0\nO 1.5 0 0\n2\nc\nFe 0 0 1\nO 1.5 0 1\n")
     atoms = text.read_xyz(spark, str(tmp_path / "a.xyz"))
