@@ -259,3 +259,21 @@ def test_repeated_passages_in_a_large_group(spark):
     texts = [own(40) + p + own(40) for _ in range(80)] + [own(40) + p[:35] + own(1) + p[35:] + own(40) for _ in range(20)] + [own(100) + p[20:50] + own(100) for _ in range(60)]
     got = passages(spark, texts)
     assert [k for k in sorted(got) if got[k].repeated_words] == list(range(100))
+
+
+def test_permutation_index_ranks_blocks_above_the_candidates(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    x[4000:] = x[0] + 0.05 * rng.normal(size=(2000, 32)).astype(np.float32)  # a cluster of near copies, larger than the candidates
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    got = permutation_index.nearest(data, data.where("vec_id % 60 = 0"), block=6000, candidates=1000).collect()
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = {True: [], False: []}
+    for q in range(0, 6000, 60):
+        s = y @ y[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(6000), -s))[:5]
+        own = [r.vec_id for r in got if r.query_id == q]
+        assert len(own) == 5
+        hits[q >= 4000].append(len({*best.tolist()} & {*own}) / 5)
+    assert np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9, {k: np.mean(v) for k, v in hits.items()}
