@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,10 +20,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is absent (tests, notebooks), a local folder is set and used.
+    Where that setting is absent, a single machine (tests, notebooks) sets and uses a local folder; a cluster is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/perilattice-shared"
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -33,7 +36,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and pins nondeterministic columns."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*written: DataFrame | None) -> None:
+    """Delete what materialize wrote for these; nothing that is still to be computed may read it."""
+    for df in written:
+        path = getattr(df, "written_at", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of a column's texts in UTF-8, by which ranges of postings are sized."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
 
 
 def materialize_counted(df: DataFrame, name: str, *what: Column) -> tuple[DataFrame, dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize_counted
+from .common import materialize_counted, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,11 +23,15 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        last = edges
         edges, now = _written(small.where("a <> b").distinct(), "cc-stars")
+        release(last)
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.written_at = edges.written_at
+    return out
 
 
 def _written(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:

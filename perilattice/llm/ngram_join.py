@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, materialize_counted, mix, partitions, shingle_hashes, word_hashes
+from .common import materialize, materialize_counted, mix, partitions, release, shingle_hashes, text_bytes, word_hashes
 from .graph import components
 
 UID = "__x6_uid"
@@ -21,6 +21,8 @@ HELD, BLOCK = 500_000, 256
 CENTRES, GROWTH = 8, 8
 #: Columns of a set's signature.
 SIGNS = [f"s{i}" for i in range(8)]
+#: First posted shingles that go with each posting, rows of a shingle that meet its centres in one task, and bytes of text by range.
+HEAD, SALTED, RANGE_BYTES = 8, 4096, 1 << 25
 
 
 def slack(n, percent: int):
@@ -145,35 +147,44 @@ def tree_search(probe: np.ndarray, sets: list[np.ndarray], percent: int, step: i
     """Which of the ordered sets link with the probe.
 
     Sets in lexical order are a depth-first walk of their prefix tree; the length of the prefix that a set has in common with
-    the one before says where it leaves that path. Overlaps with the probe are kept every `step` levels of the path, so a common
-    prefix is counted once, and a branch is left as soon as its overlap and what remains of both sets can't reach the bound.
+    the one before says at which node it leaves that path. The overlap with the probe at each node of the path is kept, so
+    what sets share is counted once. A walk ends where its overlap and what remains of the probe or of the set can't reach the
+    bound; where the probe's rest can't reach the bound of the smallest set, the whole subtree below that node is left out.
     """
     out = [False] * len(sets)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()) if len(sets) > 1 else [0] * len(sets)
-    path: list[int] = [0]  # overlaps at depths 0, step, 2 step ...
-    last = np.zeros(0, np.uint64)
+    if not sets:
+        return out
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()) if len(sets) > 1 else [0]
+    bound = lambda n: -(-percent * (n + len(probe)) // (100 + percent))
+    least = bound(min(len(x) for x in sets))
+    path = np.zeros(1, np.int64)  # overlaps at the nodes from the root on
+    last, dead = np.zeros(0, np.uint64), None  # dead: depth of the node whose subtree is left out
     for i in order:
         s = sets[i]
         m = min(len(s), len(last))
         differ = np.flatnonzero(s[:m] != last[:m])
         same = int(differ[0]) if len(differ) else m
-        del path[same // step + 1 :]
-        need = -(-percent * (len(s) + len(probe)) // (100 + percent))
-        depth = (len(path) - 1) * step
-        overlap = path[-1]
+        last = s
+        if dead is not None and same >= dead:
+            continue
+        dead = None
+        path = path[: same + 1]
+        need, depth, overlap, pieces = bound(len(s)), len(path) - 1, int(path[-1]), [path]
         while depth < len(s):
-            left_in_probe = len(probe) - int(np.searchsorted(probe, s[depth]))
-            if overlap + min(len(s) - depth, left_in_probe) < need:
+            rest = len(probe) - int(np.searchsorted(probe, s[depth]))
+            if overlap + rest < least:
+                dead = depth + 1
+                break
+            if overlap + min(len(s) - depth, rest) < need:
                 break
             part = s[depth : depth + step]
             at = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
-            overlap += int((probe[at] == part).sum())
+            pieces.append(overlap + np.cumsum(probe[at] == part))
+            overlap = int(pieces[-1][-1])
             depth += len(part)
-            if len(part) == step:
-                path.append(overlap)
         else:
             out[i] = linked(len(s), len(probe), overlap, percent)
-        last = s
+        path = np.concatenate(pieces)
     return out
 
 
@@ -227,6 +238,11 @@ def near(n_a: Column, n_b: Column, signs_a: list[Column], signs_b: list[Column],
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
+def fresh(order: Column, head_a: Column, head_b: Column) -> Column:
+    """Whether a pair has no shingle before this one in both heads; where it has one, the pair comes from that shingle."""
+    return F.coalesce(F.array_min(F.array_intersect(head_a, head_b)) >= order, F.lit(True))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of docs: uid, doc_id, n_shingles, component_id.
 
@@ -242,12 +258,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     class come first; then, in rounds, the pairs of about CENTRES members, and GROWTH times as many each round, with members of other
     components, until no shingle joins two components that weren't compared. So every link is found or spanned, while a
     group of near copies costs its size. Pairs whose sizes or signatures (parities of hashed shingles) rule a link out aren't
-    verified. Centres go by a hash of the class, so a group's shingles choose alike, and no pair
+    verified. Each posting carries the first HEAD of its set's posted shingles, and a pair comes from the first shingle
+    that both heads show, so many shared shingles don't repeat a pair. A frequent shingle's rows are salted. Centres go
+    by a hash of the class, so a group's shingles choose alike, and no pair
     is verified twice. Verification walks a prefix tree over each centre's partners, in bounded blocks.
     Classes are named by 64-bit hashes of their sets. docs is read twice and must give its rows in the same order.
     """
     spark = docs.sparkSession
-    ranges = 2 * partitions(spark)
+    ranges = max(2 * partitions(spark), text_bytes(docs, text_col) // RANGE_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias(UID), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packed = rows.mapInArrow(extract(words, percent, ranges), f"kind int, r int, {UID} long, doc_id long, n long, cls long, data binary")
     both = materialize(packed.groupBy("r").applyInArrow(reduce_range, f"kind int, {UID} long, doc_id long, n long, cls long, token long, shared long"), "jaccard-postings")
@@ -261,7 +279,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # tokens that the same classes post propose the same pairs: one of them stands for all
     whose = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("f"), F.sum(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 31))).alias("g"))
     alive = whose.where("m > 1").groupBy("m", "f", "g").agg(F.min("token").alias("token")).select("token")
+    posted = posts
     posts, some = materialize_counted(posts.join(alive, "token", "left_semi"), "jaccard-alive")
+    release(posted)
 
     comps = None
     if some["n"]:
@@ -275,28 +295,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         sets = materialize(rows.join(wanted, UID).select("cls", "text").mapInArrow(sets_of, "cls long, data binary, " + ", ".join(f"{c} long" for c in SIGNS)), "jaccard-sets")
         own, theirs = [F.col(c) for c in SIGNS], [F.col(f"a{c}") for c in SIGNS]
-        posts = materialize(posts.join(sets.select("cls", *SIGNS), "cls"), "jaccard-signed")
+        heads = posts.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.xxhash64("token"))), 1, HEAD).alias("head"))
+        posted = posts
+        posts = materialize(posts.join(sets.select("cls", *SIGNS), "cls").join(heads, "cls"), "jaccard-signed")
+        release(posted)
+        signs = [*SIGNS, "head"]
         first = posts.groupBy("token").agg(F.min(F.struct("cls", "n", *SIGNS)).alias("c"))
-        pairs = posts.join(first, "token").where((F.col("cls") != F.col("c.cls")) & near(F.col("n"), F.col("c.n"), own, [F.col(f"c.{c}") for c in SIGNS], percent)).select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        can_link = near(F.col("n"), F.col("c.n"), own, [F.col(f"c.{c}") for c in SIGNS], percent)
+        pairs = posts.join(first, "token").where((F.col("cls") != F.col("c.cls")) & can_link).select(F.col("c.cls").alias("a"), F.col("cls").alias("b")).distinct()
         pairs = checked = materialize(pairs, "jaccard-pairs")
+        met_before = [pairs]
         comps = components(verify(pairs, sets, percent))
-        centres = CENTRES
+        centres, held = CENTRES, posts
         while True:
             now = posts.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
             open_ = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
             now, some = materialize_counted(now.join(open_, "token"), "jaccard-open")
+            release(held)
+            held = now
             if not some["n"]:
                 break
             chosen = F.pmod(F.xxhash64("cls", F.lit(17)), F.lit(1 << 30)) * F.col("m") < F.lit(centres << 30)
-            mid = now.where(chosen).select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "token", *[F.col(c).alias(f"a{c}") for c in SIGNS])
-            pairs = now.join(mid, "token").where((F.col("root") != F.col("ra")) & near(F.col("n"), F.col("na"), own, theirs, percent))
+            salts = F.ceil(F.col("m") / SALTED).cast("int")
+            mid = now.where(chosen).select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.col(c).alias(f"a{c}") for c in signs])
+            met = now.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(29)), salts).cast("int")).join(mid, ["token", "salt"])
+            pairs = met.where((F.col("root") != F.col("ra")) & near(F.col("n"), F.col("na"), own, theirs, percent) & fresh(F.xxhash64("token"), F.col("head"), F.col("ahead")))
             pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
             pairs, some = materialize_counted(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
             if some["n"]:
-                checked = checked.union(pairs)
+                met_before.append(pairs)
+                checked, last = checked.union(pairs), comps
                 comps = components(verify(pairs, sets, percent).union(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            posts = now.where(~chosen).select("cls", "n", "token", *SIGNS)
+                release(last)
+            posts = now.where(~chosen).select("cls", "n", "token", *signs)
             centres *= GROWTH
+        release(held, sets, *met_before)
 
     named = info.withColumn("key", F.col("cls"))
     if comps is not None:
