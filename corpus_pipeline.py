@@ -54,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_jaccard_join", drop_near_copies), ("mixing", mix), ("packing", pack)]
 
-#: SQL can't express the toxicity model or the tokenizer; tests/test_pipeline.py holds the stages against plain Python, mixing by its bounds only.
+#: SQL can't express the toxicity model or the tokenizer; tests/llm/test_pipeline.py holds the stages against plain Python, mixing by its bounds only.
 ORACLE_SQL = None
 
 
