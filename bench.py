@@ -8,12 +8,16 @@ from pyspark.sql import SparkSession
 
 from perilattice.plans.queries import QUERIES
 
-NAMES = ("radial_distribution", "mean_squared_displacement", "velocity_autocorrelation", "voxel_density", "rmsd", "qn_species")
+NAMES = (
+    "radial_distribution", "radial_distribution_tilted", "mean_squared_displacement", "velocity_autocorrelation", "van_hove", "voxel_density", "bond_angles", "rmsd",
+    "qn_species", "linkages", "dump_round_trip",
+)
 
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").getOrCreate()
+    conf = {"spark.driver.memory": "8g", "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false"}
+    spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     for name in NAMES:

@@ -19,7 +19,7 @@ def determinant() -> Column:
 
 def with_inverse(frames: DataFrame) -> DataFrame:
     """Adds volume, the inverse w00 .. w22 and the interplanar spacings d0 .. d2; a cell without volume gets nulls."""
-    out = frames.withColumn("det", determinant()).withColumn("volume", F.abs("det"))
+    out = once(frames, det=determinant()).withColumn("volume", F.abs("det"))
     for i in range(3):
         for j in range(3):
             cof = _m(j + 1, i + 1) * _m(j + 2, i + 2) - _m(j + 1, i + 2) * _m(j + 2, i + 1)
@@ -29,12 +29,17 @@ def with_inverse(frames: DataFrame) -> DataFrame:
     return out.drop("det")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are computed once a row: a one-row generator keeps the optimiser from repeating them in each use."""
+    inner = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(inner)).alias("__once")).select(*kept, *[F.col(f"__once.{name}").alias(name) for name in columns])
+
+
 def fractional(atoms: DataFrame, frames: DataFrame) -> DataFrame:
     """atoms with fx, fy, fz and their frame's cell; atoms of frames without a cell drop out."""
     out = atoms.join(with_inverse(frames).where("volume > 0"), KEY)
-    for k, name in enumerate("xyz"):
-        out = out.withColumn(f"f{name}", F.col("x") * F.col(f"w0{k}") + F.col("y") * F.col(f"w1{k}") + F.col("z") * F.col(f"w2{k}"))
-    return out
+    return once(out, **{f"f{x}": F.col("x") * F.col(f"w0{k}") + F.col("y") * F.col(f"w1{k}") + F.col("z") * F.col(f"w2{k}") for k, x in enumerate("xyz")})
 
 
 def wrap(c: Column) -> Column:

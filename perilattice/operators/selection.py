@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import CELL
+from ..functions.elements import SYMBOLS
+from ..functions.geometry import CELL, cartesian, fractional, wrap
 
 
 def select_frames(rows: DataFrame, start: int = 0, end: int | None = None, stride: int = 1) -> DataFrame:
@@ -61,3 +62,35 @@ def vacuum(frames: DataFrame, axis: int, thickness: float) -> DataFrame:
     for c in range(3):
         out = out.withColumn(f"m{axis}{c}", F.col(f"m{axis}{c}") * F.col("scale"))
     return out.drop("scale")
+
+
+def centered(atoms: DataFrame, masses: DataFrame) -> DataFrame:
+    """Atoms with their frame's centre of mass at the origin; masses: element, mass (1 if unknown)."""
+    m = atoms.join(masses, "element", "left").withColumn("__m", F.coalesce("mass", F.lit(1.0))).drop("mass")
+    com = m.groupBy("file", "frame").agg(*[(F.sum(F.col("__m") * F.col(x)) / F.sum("__m")).alias(f"__{x}") for x in "xyz"])
+    return atoms.join(com, ["file", "frame"]).withColumns({x: F.col(x) - F.col(f"__{x}") for x in "xyz"}).select(*atoms.columns)
+
+
+def translated(atoms: DataFrame, by: tuple[float, float, float]) -> DataFrame:
+    return atoms.withColumns({x: F.col(x) + d for x, d in zip("xyz", by, strict=True)})
+
+
+def wrapped(atoms: DataFrame, frames: DataFrame) -> DataFrame:
+    """Atoms folded into their frame's cell; those of a frame without a cell drop out."""
+    f = fractional(atoms, frames).withColumns({f"f{x}": wrap(F.col(f"f{x}")) for x in "xyz"})
+    return f.withColumns({x: cartesian(k, "fx", "fy", "fz") for k, x in enumerate("xyz")}).select(*atoms.columns)
+
+
+def typed_labels(names: DataFrame, name: str = "name") -> DataFrame:
+    """names with kind, element and label: a name cut at its first underscore is split if an element stands before it, else unknown; others are plain."""
+    head = F.substring_index(F.col(name), "_", 1)
+    cut = F.instr(F.col(name), "_") > 0
+    known = head.isin(SYMBOLS)
+    kind = F.when(~cut, "plain").when(known, "split").otherwise("unknown")
+    return names.withColumns({"kind": kind, "element": F.when(cut & known, head).otherwise(F.col(name)), "label": F.when(cut & known, F.col(name))})
+
+
+def fold_labels(atoms: DataFrame) -> DataFrame:
+    """Labels in place of elements, where they start with the element and an underscore (as a dump has no other place for them)."""
+    fits = F.col("label").startswith(F.concat("element", F.lit("_")))
+    return atoms.withColumn("element", F.when(fits, F.col("label")).otherwise(F.col("element")))

@@ -1,138 +1,239 @@
-"""Queries over trajectories that are derived from the driver's part and nation tables, with the same in DuckDB SQL.
-
-Each 200 parts are a file of 200 atoms, each nation is a frame; positions and velocities are dyadic, the box is 16.
-"""
+"""Queries over the derived trajectories, one or more for each operator; plans.oracles has the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dynamics, network, selection, structure
+from ..operators import building, dynamics, network, selection, structure
+from ..sources import grid, sinks, text
+from .oracles import CUTOFFS, LENGTHS, MODIFIER, ORACLES, STATES, WEIGHTS, XRAY
+from .trajectories import cube, net, tilted
 
-_FRAC = ", ".join(f"(p_partkey * {a} % 4096) / 4096e0 + n_nationkey * ((p_partkey * {b}) % 127 - 63) / 1024e0 as a{x}" for x, a, b in (("x", 37, 7), ("y", 1031, 11), ("z", 2753, 13)))
-TRAJ = f"""select file, frame, aid, element, {", ".join(f"(a{x} - floor(a{x})) * 16e0 as {x}" for x in "xyz")}, {", ".join(f"v{x}" for x in "xyz")} from (
-select cast(floor(p_partkey / 200) as bigint) as file, cast(n_nationkey as bigint) as frame, cast(p_partkey % 200 as bigint) as aid, case when p_partkey % 3 = 0 then 'Si' else 'O' end as element, {_FRAC},
-{", ".join(f"((p_partkey * {b}) % 127 - 63) / 64e0 as v{x}" for x, b in (("x", 7), ("y", 11), ("z", 13)))} from {{part}} cross join {{nation}}) t"""
-# formers on a 4 x 4 x 4 lattice of spacing 4, ligands near the lattice's edges
-_H = "((aid - 64) * 7 + frame * 5 + file) % 192"
-NET = f"""select file, frame, aid, element, x - floor(x / 16e0) * 16e0 as x, y - floor(y / 16e0) * 16e0 as y, z - floor(z / 16e0) * 16e0 as z from (
-select file, frame, aid, case when aid < 64 then case when aid % 8 = 0 then 'Al' else 'P' end when aid < 190 then 'O' else 'Zn' end as element,
- sx * 4e0 + case when aid < 64 then 0e0 when aid >= 190 or h = 9 then 2e0 when h = 8 then case when ax = 2 then 0e0 else 2e0 end when ax = 0 then case when h < 6 then 2e0 else 1e0 end else 0e0 end as x,
- sy * 4e0 + case when aid < 64 then 0e0 when aid >= 190 or h = 9 then 2e0 when h = 8 then case when ax = 0 then 0e0 else 2e0 end when ax = 1 then case when h < 6 then 2e0 else 1e0 end else 0e0 end as y,
- sz * 4e0 + case when aid < 64 then 0e0 when aid >= 190 or h = 9 then 2e0 when h = 8 then case when ax = 1 then 0e0 else 2e0 end when ax = 2 then case when h < 6 then 2e0 else 1e0 end else 0e0 end as z
-from (select file, frame, aid, h, ax, site % 4 as sx, cast(floor(site / 4) as bigint) % 4 as sy, cast(floor(site / 16) as bigint) as sz from (
-select file, frame, aid, (aid + frame + file) % 10 as h, case when aid < 64 then 0 else e % 3 end as ax, case when aid < 64 then aid else cast(floor(e / 3) as bigint) end as site from (
-select cast(floor(p_partkey / 200) as bigint) as file, cast(n_nationkey as bigint) as frame, cast(p_partkey % 200 as bigint) as aid,
- ((p_partkey % 200 + 128) * 7 + n_nationkey * 5 + cast(floor(p_partkey / 200) as bigint)) % 192 as e from {{part}} cross join {{nation}}) t1) t2) t3) t4"""
+__all__ = ["ORACLES", "QUERIES"]
+GR = (0.01, 4.0, 0.23)
+FORMERS, LIGANDS, QN = ["P", "Al"], ["O"], ["P"]
 
 
-def _load(sql: str):
-    def run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-        atoms = spark.sql(sql.format(part=f"parquet.`{sf_dir}/part.parquet`", nation=f"parquet.`{sf_dir}/nation.parquet`"))
-        cell = [F.lit(16.0 if i == j else 0.0).alias(f"m{i}{j}") for i in range(3) for j in range(3)]
-        return atoms, atoms.select("file", "frame").distinct().select("file", "frame", *cell)
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in names})
 
-    return run
 
+def _gr(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(structure.radial_distribution(*cube(s, d), *GR), "r", "gr", "cn", "rho_g")
 
-_traj, _net = _load(TRAJ), _load(NET)
 
+def _sq(s: SparkSession, d: str) -> DataFrame:
+    traj = cube(s, d)
+    return structure.structure_factor(structure.radial_distribution(*traj, *GR), structure.number_density(*traj), GR[2], 0.5, 5.0, 0.5)
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in names})
 
+def _weighted(s: SparkSession, d: str, factors: DataFrame) -> DataFrame:
+    out = structure.weighted_structure_factor(_sq(s, d), structure.conserved_counts(*cube(s, d)), factors)
+    return _rounded(out, "q", "sq", "part", "total")
 
-def _network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    atoms, frames = _net(spark, d)
-    cutoffs = spark.createDataFrame([("P", "O", 2.9), ("Al", "O", 2.9)], "el_f string, el_l string, cutoff double")
-    b = network.bonds(atoms, frames, cutoffs, 2.9)
-    return atoms, b, network.formers(atoms, b, ["P", "Al"])
 
+def _neutron(s: SparkSession, d: str) -> DataFrame:
+    return _weighted(s, d, s.createDataFrame(list(LENGTHS.items()), "type string, b double"))
 
-def _ligands(s: SparkSession, d: str) -> DataFrame:
-    atoms, b, _ = _network(s, d)
-    return _rounded(network.fractions(network.ligand_classes(atoms, b, ["O"]), ["element"], ["kind"]), "mean", "sd")
 
+def _xray(s: SparkSession, d: str) -> DataFrame:
+    return _weighted(s, d, s.createDataFrame([(k, *v) for k, v in XRAY.items()], "type string, a array<double>, s array<double>, c double"))
 
-def _angles(s: SparkSession, d: str) -> DataFrame:
-    return structure.bond_angles(*_traj(s, d), 2.5, 7.3)
 
+def _masses(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(list(WEIGHTS.items()), "element string, mass double")
+
+
+def _bonds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    network.validate(CUTOFFS, MODIFIER, QN)
+    atoms, frames = net(s, d)
+    cutoffs = s.createDataFrame(CUTOFFS, "el_f string, el_l string, cutoff double")
+    return atoms, frames, network.bonds(atoms.where(F.col("element").isin(FORMERS + LIGANDS)), frames, cutoffs, max(c for _, _, c in CUTOFFS))
+
+
+def _formers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    atoms, frames, b = _bonds(s, d)
+    return network.formers(atoms, b, FORMERS), frames
+
+
+def _ligands(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    atoms, frames, b = _bonds(s, d)
+    return network.ligand_classes(atoms, b, LIGANDS), frames
+
+
+def _modifiers(s: SparkSession, d: str) -> DataFrame:
+    atoms, frames = net(s, d)
+    return network.modifiers(atoms, frames, s.createDataFrame(MODIFIER, "el_f string, el_l string, cutoff double"), max(c for _, _, c in MODIFIER), [m for m, _, _ in MODIFIER])
+
+
+def _share(rows: DataFrame, by: list[str], frames: DataFrame) -> DataFrame:
+    return _rounded(network.fractions(rows, ["element"], by, frames), "mean", "sd")
+
+
+def _coordination(s: SparkSession, d: str) -> DataFrame:
+    f, frames = _formers(s, d)
+    return _share(f.select("file", "frame", "element", "cn").union(_modifiers(s, d).select("file", "frame", "element", "cn")), ["cn"], frames)
+
+
+def _composition(s: SparkSession, d: str) -> DataFrame:
+    atoms, frames, b = _bonds(s, d)
+    f, lig = network.formers(atoms, b, FORMERS), network.ligand_classes(atoms, b, LIGANDS)
+    return _rounded(network.composition_table(f, lig, _modifiers(s, d), QN, frames), "mean", "sd")
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    atoms, _, b = _bonds(s, d)
+    return network.labels(atoms, network.formers(atoms, b, FORMERS), network.ligand_classes(atoms, b, LIGANDS), _modifiers(s, d), QN)
+
+
+def _clusters(s: SparkSession, d: str) -> DataFrame:
+    atoms, _, b = _bonds(s, d)
+    return network.cluster_sites(b, network.formers(atoms, b, FORMERS))
+
+
+def _folder(s: SparkSession) -> str:
+    """A new folder that the driver and all executors share."""
+    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/perilattice-text"
+    return f"{base.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
 
-QUERIES = {
-    "radial_distribution": lambda s, d: _rounded(structure.radial_distribution(*_traj(s, d), 0.01, 4.0, 0.23), "r", "gr", "cn"),
-    "number_density": lambda s, d: _rounded(structure.number_density(*_traj(s, d)), "rho", "v_mean", "v_sd"),
-    "structure_factor": lambda s, d: _rounded(structure.structure_factor(structure.radial_distribution(*_traj(s, d), 0.01, 4.0, 0.23), structure.number_density(*_traj(s, d)), 0.23, 0.5, 5.0, 0.5), "q", "sq"),
-    "mean_squared_displacement": lambda s, d: dynamics.mean_squared_displacement(*_traj(s, d), 10),
-    "diffusion": lambda s, d: _rounded(dynamics.diffusion(dynamics.mean_squared_displacement(*_traj(s, d), 10), 0.2, 0.8), "d", "intercept", "r2"),
-    "velocity_autocorrelation": lambda s, d: _rounded(dynamics.velocity_autocorrelation(_traj(s, d)[0], 10), "vacf", "diffusion"),
-    "van_hove": lambda s, d: _rounded(dynamics.van_hove(*_traj(s, d), 3, 6.0, 0.23), "gs"),
-    "jumps": lambda s, d: dynamics.jumps(*_traj(s, d), 2, 1.3, 8),
-    "rotational_correlation": lambda s, d: _rounded(dynamics.rotational_correlation(*_traj(s, d), "Si", "O", 3.0, 5), "c2"),
-    "shape": lambda s, d: _rounded(dynamics.shape(_traj(s, d)[0], s.createDataFrame([("Si", 28.0), ("O", 16.0)], "element string, mass double")), "com_x", "com_y", "com_z", "rg"),
-    "rmsd": lambda s, d: _rounded(dynamics.rmsd(_traj(s, d)[0]), "rmsd"),
-    "bond_angles": _angles,
-    "voxel_density": lambda s, d: _rounded(structure.voxel_density(*_traj(s, d), 8), "density", "speed"),
-    "ligand_classes": _ligands,
-    "qn_species": lambda s, d: _rounded(network.fractions(_network(s, d)[2], ["element"], ["n"]), "mean", "sd"),
-    "coordination": lambda s, d: _rounded(network.fractions(_network(s, d)[2], ["element"], ["cn"]), "mean", "sd"),
-    "linkages": lambda s, d: network.linkages(*_network(s, d)[1:]),
-    "edge_sharing": lambda s, d: network.edge_sharing(_network(s, d)[1]),
-    "select_tail": lambda s, d: selection.select_frames(selection.tail(_traj(s, d)[0], 8), 0, None, 2).select("file", "frame", "aid", "element", "x", "y", "z"),
-    "of_elements": lambda s, d: selection.of_elements(_traj(s, d)[0], ["Si"]).groupBy("file", "frame").agg(F.count("*").alias("n")),
-    "supercell": lambda s, d: selection.supercell(*map(lambda x: x.where("frame = 0"), _traj(s, d)), 2, 1, 3)[0].select("file", "aid", "element", "x", "y", "z"),
-    "supercell_all_frames": lambda s, d: selection.supercell(*_traj(s, d), 2, 1, 3)[0].select("file", "frame", "aid", "element", "x", "y", "z"),
-}
 
-_A = TRAJ.format(part="part", nation="nation")
-_UN = "select *, " + ", ".join(f"first_value({x} / 16e0) over w + sum(coalesce(s{x}, 0e0)) over w as u{x}" for x in "xyz") + " from (select *, " + ", ".join(f"d{x} - floor(d{x} + 0.5e0) as s{x}" for x in "xyz") + " from (select *, " + ", ".join(f"({x} - lag({x}) over v) / 16e0 as d{x}" for x in "xyz") + " from a window v as (partition by file, aid order by frame))) window w as (partition by file, aid order by frame rows unbounded preceding)"
-_HEAD = f"with a as ({_A}), u as ({_UN}), nf as (select file, max(frame) + 1 as n, count(distinct frame) as nf from a group by file)"
-
-
-def _pairs(source: str, cut: str) -> str:
-    d = ", ".join(f"(b.{x} - a.{x}) / 16e0 as h{x}" for x in "xyz")
-    h = ", ".join(f"(h{x} - floor(h{x} + 0.5e0)) * 16e0 as d{x}" for x in "xyz")
-    return f"p as (select *, dx * dx + dy * dy + dz * dz as d2 from (select file, frame, a, b, el_a, el_b, {h} from (select a.file, a.frame, a.aid as a, b.aid as b, a.element as el_a, b.element as el_b, {d} from {source} a join {source} b on a.file = b.file and a.frame = b.frame and a.aid <> b.aid)) where dx * dx + dy * dy + dz * dz < {cut} * {cut})"
-
-
-_SHIFT = "m as (select * from (select *, " + ", ".join(f"(lead(u{x}, {{tau}}) over w - u{x}) * 16e0 as r{x}" for x in "xyz") + " from u window w as (partition by file, aid order by frame)) where rx is not null), q as (select *, rx * rx + ry * ry + rz * rz as dist2 from m)"
-_NETS = f"with a as ({NET.format(part='part', nation='nation')}), {_pairs('a', '2.9e0')}, b as (select file, frame, a as former, el_a as el_f, b as ligand, el_b as el_l from p where el_a in ('P', 'Al') and el_b = 'O'), k as (select *, count(*) over (partition by file, frame, ligand) as k, count(*) over (partition by file, frame, ligand, el_f) as own from b), f as (select a.file, a.frame, a.aid, a.element, count(k.k)::bigint as cn, count(*) filter (where k.k >= 2)::bigint as n_bo, coalesce(sum(k.own - 1), 0)::bigint as n from a left join k on a.file = k.file and a.frame = k.frame and a.aid = k.former where a.element in ('P', 'Al') group by all)"
-
-
-def _share(rows: str, state: str) -> str:
-    return f"""select file, element, {state}, count::bigint as count, round(s / nf, 6) as mean, round(sqrt(greatest(0e0, (s2 - s * (s / nf)) / (nf - 1))), 6) as sd from (
-select file, element, {state}, sum(k) as count, sum(p) as s, sum(p * p) as s2, any_value(nf) as nf from (select *, k / sum(k) over (partition by file, frame, element) as p from (
-select file, frame, element, {state}, count(*) as k from {rows} group by all)) join (select file, count(distinct frame) as nf from {rows} group by file) using (file) group by file, element, {state})"""
-
-
-_DOT = " + ".join("(o.v{0} * e.v{0})".format(x) for x in "xyz")
-_MSD = " + ".join(f"((e.u{x} - o.u{x}) * 32e0 * 0.5e0) * ((e.u{x} - o.u{x}) * 32e0 * 0.5e0)" for x in "xyz")
-_LAG = "o join e on o.file = e.file and o.aid = e.aid and e.frame - o.frame between 0 and {last} join nf on nf.file = o.file where o.frame + {lags} <= nf.n"
-
-ORACLES = {
-    "number_density": f"{_HEAD} select file, (count(*) / any_value(nf))::bigint as n, round(count(*) / any_value(nf) / 4096e0, 6) as rho, 4096e0 as v_mean, 0e0 as v_sd from a join nf using (file) group by file",
-    "radial_distribution": f"""{_HEAD}, {_pairs("a", "4e0")}, n as (select file, element, count(*) / any_value(nf) as n from a join nf using (file) group by file, element),
-h as (select file, el_a, el_b, floor((sqrt(d2) - 0.01e0) / 0.23e0)::bigint as bin, count(*) as k from p where d2 > 0 group by all),
-g as (select x.file, x.element as center, y.element as neighbor, x.n as na, case when x.element = y.element then y.n - 1 else y.n end as np, bin from n x join n y using (file), (select unnest(range(17))::bigint as bin) b)
-select g.file, g.bin, round(0.01e0 + (g.bin + 0.5e0) * 0.23e0, 6) as r, center, neighbor, (coalesce(k, 0) / case when center = neighbor then 2 else 1 end)::bigint as count,
-round(coalesce(k, 0) * 4096e0 / (4e0 * pi() * pow(0.01e0 + (g.bin + 0.5e0) * 0.23e0, 2) * 0.23e0 * np * na * nf), 6) as gr,
-round(sum(coalesce(k, 0)) over (partition by g.file, center, neighbor order by g.bin) / (na * nf), 6) as cn
-from g join nf using (file) left join h on h.file = g.file and h.el_a = center and h.el_b = neighbor and h.bin = g.bin""",
-    "mean_squared_displacement": f"{_HEAD}, o as (from u), e as (from u) select o.file, (e.frame - o.frame)::int as lag, (e.frame - o.frame)::double as time, avg({_MSD}) as msd from {_LAG.format(last=9, lags=10)} group by all",
-    "velocity_autocorrelation": f"{_HEAD}, o as (from a), e as (from a), v as (select o.file, (e.frame - o.frame)::int as lag, avg({_DOT}) as vacf from {_LAG.format(last=9, lags=10)} group by all) select file, lag, round(vacf, 6) as vacf, round(sum(vacf) over (partition by file order by lag) / 3, 6) as diffusion from v",
-    "van_hove": f"{_HEAD}, {_SHIFT.format(tau=3)}, t as (select file, count(*) as total from q group by file) select q.file, floor(sqrt(dist2) / 0.23e0)::bigint as bin, count(*)::bigint as count, round(count(*) / any_value(total), 6) as gs from q join t using (file) where floor(sqrt(dist2) / 0.23e0) < 26 group by q.file, bin",
-    "jumps": f"{_HEAD}, {_SHIFT.format(tau=2)} select file, {', '.join(f'floor({x} / 2e0)::bigint as i{x}' for x in 'xyz')}, count(*)::bigint as count from q where dist2 >= 1.3e0 * 1.3e0 group by all",
-    "rmsd": f"{_HEAD} select x.file, x.frame, round(sqrt(avg((x.x - y.x) * (x.x - y.x) + (x.y - y.y) * (x.y - y.y) + (x.z - y.z) * (x.z - y.z))), 6) as rmsd from a x join a y on x.file = y.file and x.aid = y.aid and y.frame = 0 group by x.file, x.frame",
-    "shape": f"""{_HEAD}, m as (select *, case element when 'Si' then 28e0 else 16e0 end as w from a), s as (select file, frame, sum(w) as mass, {", ".join(f"sum(w * {x}) / sum(w) as com_{x}" for x in "xyz")}, sum(w * (x * x + y * y + z * z)) / sum(w) as q, {", ".join(f"max({x}) - min({x}) as size_{x}" for x in "xyz")} from m group by file, frame)
-select file, frame, mass, {", ".join(f"round(com_{x}, 6) as com_{x}, size_{x}" for x in "xyz")}, round(sqrt(greatest(0e0, q - com_x * com_x - com_y * com_y - com_z * com_z)), 6) as rg from s""",
-    "voxel_density": f"{_HEAD} select a.file, {', '.join(f'floor({x} / 2e0)::bigint as i{x}' for x in 'xyz')}, count(*)::bigint as count, round(count(*) / (any_value(nf) * 8e0), 6) as density, round(avg(sqrt(vx * vx + vy * vy + vz * vz)), 6) as speed from a join nf using (file) group by a.file, ix, iy, iz",
-    "select_tail": f"{_HEAD} select a.file, frame, aid, element, x, y, z from a join nf using (file) where frame >= n - 8 and frame % 2 = 0",
-    "of_elements": f"{_HEAD} select file, frame, count(*)::bigint as n from a where (file, aid) in (select (file, aid) from a where frame = 0 and element = 'Si') group by file, frame",
-    "supercell": f"{_HEAD}, c as (select file, count(*) as k from a where frame = 0 group by file) select file, (r * k + aid)::bigint as aid, element, x + (r % 2) * 16e0 as x, y, z + floor(r / 2) * 16e0 as z from a join c using (file), (select unnest(range(6)) as r) t where frame = 0",
-    "supercell_all_frames": f"{_HEAD}, c as (select file, frame, count(*) as k from a group by file, frame) select file, frame, (r * k + aid)::bigint as aid, element, x + (r % 2) * 16e0 as x, y, z + floor(r / 2) * 16e0 as z from a join c using (file, frame), (select unnest(range(6)) as r) t",
-    "ligand_classes": f"{_NETS}, l as (select a.file, a.frame, a.element, case count(b.former) when 0 then 'f' when 1 then 'n' when 2 then 'b' else 't' end as kind from a left join b on a.file = b.file and a.frame = b.frame and a.aid = b.ligand where a.element = 'O' group by a.file, a.frame, a.aid, a.element) " + _share("l", "kind"),
-    "qn_species": f"{_NETS} " + _share("f", "n"),
-    "coordination": f"{_NETS} " + _share("f", "cn"),
-    "linkages": f"{_NETS}, s as (select k.*, f.element || '-' || f.n || '-' || f.cn as state from k join f on f.file = k.file and f.frame = k.frame and f.aid = k.former) select x.file, x.el_l, x.k::bigint as k, least(x.state, y.state) as a, greatest(x.state, y.state) as b, count(*)::bigint as count from s x join s y on x.file = y.file and x.frame = y.frame and x.ligand = y.ligand and x.former < y.former group by all",
-    "edge_sharing": f"{_NETS}, e as (select x.file, x.frame from b x join b y on x.file = y.file and x.frame = y.frame and x.ligand = y.ligand and x.former < y.former group by x.file, x.frame, x.former, y.former having count(*) >= 2) select file, frame, count(*)::bigint as count from e group by file, frame",
+def _back(rows: DataFrame, *names: str) -> DataFrame:
+    """What a reader found in files that write_blocks wrote, by the number in the folder's name."""
+    out = rows.withColumn("file", F.regexp_extract("file", r"file=(\d+)", 1).cast("long"))
+    return out.select("file", "frame", "aid", "element", *[F.round(c, 6).alias(c) for c in names])
+
+
+def _files(s: SparkSession, folder: str) -> list[str]:
+    return [r.path for r in s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).select("path").collect()]
+
+
+def _extxyz(s: SparkSession, d: str) -> DataFrame:
+    folder, (atoms, frames) = _folder(s), tilted(s, d)
+    sinks.write_blocks(sinks.extxyz_blocks(atoms, frames), folder)
+    return _back(text.read_lines(s, _files(s, folder), text.parse_extxyz), "x", "y", "z", "m00", "m21")
+
+
+def _dump(s: SparkSession, d: str) -> DataFrame:
+    folder, (atoms, frames) = _folder(s), tilted(s, d)
+    sinks.write_blocks(sinks.dump_blocks(atoms, frames), folder)
+    return _back(text.read_lammps_dump(s, _files(s, folder)), "x", "y", "z", "m00", "m21")
+
+
+def _poscar(s: SparkSession, d: str) -> DataFrame:
+    folder, (atoms, frames) = _folder(s), tilted(s, d)
+    sinks.write_blocks(sinks.poscar_blocks(atoms, frames), folder)
+    return _back(text.read_lines(s, _files(s, folder), text.parse_poscar), "x", "y", "z", "m00", "m21").select("file", "element", "x", "y", "z", "m00", "m21")
+
+
+def _pdb(s: SparkSession, d: str) -> DataFrame:
+    folder, (atoms, frames) = _folder(s), cube(s, d)
+    sinks.write_blocks(sinks.pdb_blocks(atoms, frames), folder)
+    return _back(text.read_lines(s, _files(s, folder), text.parse_pdb), "m00")
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    v = structure.voxel_density(*cube(s, d), 5).where("file < 2")
+    cell = F.array(*[F.lit(16.0 if i == j else 0.0) for i in range(3) for j in range(3)])
+    rows = v.select("file", *[F.lit(5).cast("long").alias(f"n{i}") for i in range(3)], cell.alias("cell"), *[F.col(f"i{x}").alias(f"i{i}") for i, x in enumerate("xyz")], F.col("count").cast("double").alias("value"))
+    sinks.write_blocks(sinks.cube_blocks(rows).withColumn("frame", F.lit(0)), folder)
+    out = grid.read_grid(s, _files(s, folder), "cube")
+    return out.select(F.regexp_extract("file", r"file=(\d+)", 1).cast("long").alias("file"), "i0", "i1", "i2", "value", F.round(F.element_at("cell", 1), 4).alias("m00"))
+
+
+def _wrapped(s: SparkSession, d: str) -> DataFrame:
+    """Positions come near exact halves of the last digit, so they are moved off them before they are rounded."""
+    atoms, frames = tilted(s, d)
+    out = selection.wrapped(selection.translated(atoms, (21.0, -3.0, 40.0)), frames)
+    return out.select("file", "frame", "aid", *[F.round(F.col(x) + 1.23e-7, 6).alias(x) for x in "xyz"])
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    atoms, frames = cube(s, d)
+    both, cell = building.merge((atoms, frames), tilted(s, d), 2, 1.5)
+    return _rounded(both.select("file", "frame", "aid", "element", "x", "y", "z").join(cell.select("file", "frame", "m00", "m22"), ["file", "frame"]), "x", "y", "z", "m00", "m22")
+
+
+def _oxidation(s: SparkSession, d: str) -> DataFrame:
+    counts = cube(s, d)[0].where("frame = 0 and aid < 12").groupBy("file", "element").agg(F.count("*").alias("n"))
+    return building.oxidation_states(counts, s.createDataFrame(STATES, "element string, electronegativity double, state int"))
+
+
+def _info(s: SparkSession, d: str) -> DataFrame:
+    out = building.frame_info(*tilted(s, d))
+    return _rounded(out, "a", "b", "c", "alpha", "beta", "gamma", "volume", "density").select("file", "frame", "n", "composition", "a", "b", "c", "alpha", "beta", "gamma", "volume", "density", "unknown")
+
+
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    names = _labels(s, d).select(F.concat(F.col("label"), F.when(F.col("aid") % 7 == 0, "_x").otherwise("")).alias("name")).distinct()
+    return selection.typed_labels(names.union(s.createDataFrame([("Xx_1",), ("plain",)], "name string")))
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    table = _rounded(network.pooled_means(_formers(s, d)[0], _modifiers(s, d), QN), "mean_cn", "mean_qn", "mean_n_bo")
+    return sinks.csv_lines(table, ["file", "element"], ["pooled means"]).select("part", "line")
+
+
+_TILT_GR = ("r", "gr", "cn", "rho_g")
+QUERIES = {
+    "radial_distribution": _gr,
+    "radial_distribution_tilted": lambda s, d: _rounded(structure.radial_distribution(*tilted(s, d), 0.01, 6.0, 0.37), *_TILT_GR),
+    "radial_distribution_clamped": lambda s, d: _rounded(structure.radial_distribution(*cube(s, d), 5.01, 20.0, 0.53), *_TILT_GR),
+    "number_density": lambda s, d: _rounded(structure.number_density(*tilted(s, d)), "rho", "v_mean", "v_sd"),
+    "structure_factor": lambda s, d: _rounded(_sq(s, d), "q", "sq"),
+    "neutron_structure_factor": _neutron,
+    "xray_structure_factor": _xray,
+    "mean_squared_displacement": lambda s, d: dynamics.mean_squared_displacement(*cube(s, d), 10).select("file", "lag", "time", "msd"),
+    "mean_squared_displacement_tilted": lambda s, d: _rounded(dynamics.mean_squared_displacement(*tilted(s, d), 8, 2), "msd", "msd_a", "msd_b", "msd_c"),
+    "displacement_without_cell": lambda s, d: _rounded(dynamics.mean_squared_displacement(cube(s, d)[0], None, 6, 3), "msd", "msd_a", "msd_b", "msd_c"),
+    "displacement_all_lags": lambda s, d: dynamics.all_lags_displacement(cube(s, d)[0]),
+    "diffusion": lambda s, d: _rounded(dynamics.diffusion(dynamics.mean_squared_displacement(*cube(s, d), 10), 0.2, 0.8), "d", "intercept", "r2"),
+    "velocity_autocorrelation": lambda s, d: _rounded(dynamics.velocity_autocorrelation(cube(s, d)[0], 10), "vacf", "vacf_x", "vacf_y", "vacf_z", "diffusion"),
+    "van_hove": lambda s, d: _rounded(dynamics.van_hove(*cube(s, d), 3, 6.0, 0.23), "r", "gs"),
+    "van_hove_tilted": lambda s, d: _rounded(dynamics.van_hove(*tilted(s, d), 4, 5.0, 0.29, 0.3, 2, ["Si"]), "r", "gs"),
+    "jumps": lambda s, d: dynamics.jumps(*cube(s, d), 2, 1.3, 8),
+    "jumps_tilted": lambda s, d: dynamics.jumps(*tilted(s, d), 3, 1.7, (7, 6, 5), "midpoint"),
+    "rotational_correlation": lambda s, d: _rounded(dynamics.rotational_correlation(*cube(s, d), "Si", "O", 3.0, 5), "c2", "integral"),
+    "shape": lambda s, d: _rounded(dynamics.shape(cube(s, d)[0], _masses(s)), "com_x", "com_y", "com_z", "rg"),
+    "rmsd": lambda s, d: _rounded(dynamics.rmsd(cube(s, d)[0]), "rmsd"),
+    "internal_coordinates": lambda s, d: _rounded(dynamics.internal_coordinates(cube(s, d)[0], 3, 17, 41, 88), "distance", "angle", "dihedral"),
+    "bond_angles": lambda s, d: _rounded(structure.bond_angles(*cube(s, d), 2.5, 2.1, 7.3, 12.0, 171.0), "angle", "p"),
+    "angle_statistics": lambda s, d: _rounded(structure.angle_statistics(structure.bond_angles(*cube(s, d), 2.5, None, 7.3)), "mean", "sd"),
+    "voxel_density": lambda s, d: _rounded(structure.voxel_density(*cube(s, d), 8), "density", "speed"),
+    "voxel_force": lambda s, d: _rounded(structure.voxel_density(cube(s, d)[0].withColumns({f"force_{x}": F.col(f"v{x}") * 2 for x in "xyz"}), cube(s, d)[1], (4, 5, 6), ["Si"]), "density", "speed", "force"),
+    "sphere_occupancy": lambda s, d: structure.sphere_occupancy(*cube(s, d), 6, 2.3, ["Si"]),
+    "mean_positions": lambda s, d: structure.mean_positions(cube(s, d)[0]),
+    "ligand_classes": lambda s, d: _share(_ligands(s, d)[0], ["kind"], net(s, d)[1]),
+    "ligand_types": lambda s, d: _rounded(network.ligand_table(*_ligands(s, d)), "mean", "sd"),
+    "qn_species": lambda s, d: _rounded(network.qn_table(_formers(s, d)[0], QN, net(s, d)[1]), "mean", "sd"),
+    "qn_partners": lambda s, d: _rounded(network.qn_partner_table(_formers(s, d)[0], QN, net(s, d)[1]), "mean", "sd"),
+    "coordination": _coordination,
+    "composition": _composition,
+    "pooled_means": lambda s, d: _rounded(network.pooled_means(_formers(s, d)[0], _modifiers(s, d), QN), "mean_cn", "mean_qn", "mean_n_bo"),
+    "linkages": lambda s, d: _rounded(network.linkages(_bonds(s, d)[2], net(s, d)[1]), "mean", "sd"),
+    "edge_sharing": lambda s, d: network.edge_sharing(*_bonds(s, d)[:0:-1]),
+    "site_labels": _labels,
+    "network_clusters": _clusters,
+    "typed_labels": _typed,
+    "select_tail": lambda s, d: selection.select_frames(selection.tail(cube(s, d)[0], 8), 0, None, 2).select("file", "frame", "aid", "element", "x", "y", "z"),
+    "spread_frames": lambda s, d: cube(s, d)[0].where(F.col("frame").isin(selection.spread(25, 4))).groupBy("file", "frame").agg(F.count("*").alias("n")),
+    "of_elements": lambda s, d: selection.of_elements(cube(s, d)[0], ["Si"]).groupBy("file", "frame").agg(F.count("*").alias("n")),
+    "supercell": lambda s, d: selection.supercell(*cube(s, d), 2, 1, 3)[0].select("file", "frame", "aid", "element", "x", "y", "z"),
+    "vacuum": lambda s, d: _rounded(selection.vacuum(tilted(s, d)[1], 2, 7.5), "m20", "m21", "m22").select("file", "frame", "m00", "m20", "m21", "m22"),
+    "centered": lambda s, d: _rounded(selection.centered(cube(s, d)[0], _masses(s)), "x", "y", "z").select("file", "frame", "aid", "x", "y", "z"),
+    "wrapped": _wrapped,
+    "merged": _merged,
+    "frame_info": _info,
+    "electron_counts": lambda s, d: building.electron_counts(cube(s, d)[0], 1),
+    "oxidation_states": _oxidation,
+    "extxyz_round_trip": _extxyz,
+    "dump_round_trip": _dump,
+    "poscar_round_trip": _poscar,
+    "pdb_round_trip": _pdb,
+    "cube_round_trip": _grid,
+    "csv_table": _csv,
 }
