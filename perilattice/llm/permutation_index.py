@@ -3,57 +3,81 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, materialize_counted, partitions
 
+#: Query blocks that a data block meets in one task, and rows of a block that are offered at least.
+GROUP, LEAST = 64, 64
 
-def pick_pivots(vectors: DataFrame, n_pivots: int, sample: int, id_col: str, vec_col: str) -> np.ndarray:
-    """Pivots from a sample of at most `sample` rows, chosen by a hash of the id: each next one far from those before (k-centres)."""
-    rows = vectors.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).select(vec_col).limit(sample).collect()
-    width = max((len(r[0]) for r in rows), default=0)
-    if not width:
-        return np.zeros((0, 0))
-    x = np.array([r[0] for r in rows if len(r[0]) == width], dtype=np.float64)
-    x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
-    chosen, near = [0], x @ x[0]
-    while len(chosen) < min(n_pivots, len(x)):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    return x[chosen]
+
+def pick_pivots(vectors: DataFrame, n_pivots: int, sample: int, id_col: str, vec_col: str) -> dict[int, np.ndarray]:
+    """By width, pivots from a sample of at most `sample` rows, chosen by a hash of the id: each next one far from those before (k-centres)."""
+    rows = vectors.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).select(vec_col).limit(sample).toArrow().column(0).to_pylist()
+    out = {}
+    for width in sorted({len(r) for r in rows}):
+        x = np.array([r for r in rows if len(r) == width], dtype=np.float64)
+        x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
+        chosen, near = [0], x @ x[0]
+        while len(chosen) < min(n_pivots, len(x)):
+            chosen.append(int(near.argmin()))
+            near = np.maximum(near, x @ x[chosen[-1]])
+        out[width] = x[chosen]
+    return out
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """The `depth` nearest pivots of each row, nearest first."""
-    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :depth].astype(np.int32)
+    depth = min(depth, len(pivots))
+    out = np.empty((len(x), depth), np.int32)
+    for k in range(0, len(x), 1024):
+        part = x[k : k + 1024]
+        far = -((part / np.linalg.norm(part, axis=1, keepdims=True)) @ pivots.T)
+        top = np.sort(np.argpartition(far, depth - 1, axis=1)[:, :depth], axis=1)
+        by = np.argsort(np.take_along_axis(far, top, 1), axis=1, kind="stable")
+        out[k : k + 1024] = np.take_along_axis(top, by, 1)
+    return out
+
+
+class Inverted(NamedTuple):
+    """For each pivot p, rows cut[p]:cut[p + 1] of the block's rows that have it among their nearest, and its place there."""
+
+    cut: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
 
 
-def search_block(q: np.ndarray, x: np.ndarray, pivots: np.ndarray, depth: int, candidates: int) -> Iterator[np.ndarray]:
-    """For each query, the rows of the block with the smallest footrule distance of pivot orders, ties included.
+def invert(order: np.ndarray, n_pivots: int) -> Inverted:
+    flat = order.ravel()
+    by = np.argsort(flat, kind="stable")
+    cut = np.searchsorted(flat[by], np.arange(n_pivots + 1))
+    return Inverted(cut.astype("<i8"), (by // order.shape[1]).astype("<i4"), (by % order.shape[1]).astype("<i4"))
 
-    The block's inverted files list, for each pivot, the rows that have it in their order and its place there. The footrule of
-    two partial orders counts a missing pivot as at place `depth`, so it is a constant less a gain for each shared pivot.
+
+def footrule(own: np.ndarray, posts: Inverted, n: int, depth: int) -> np.ndarray:
+    """By row, how far its footrule distance to the order `own` is below that of a row without a common pivot.
+
+    A pivot that one of two orders hasn't got counts as at place `depth` there, so each shared pivot is a gain.
     """
-    order, depth = orders(x, pivots, depth), min(depth, len(pivots))
-    by = np.argsort(order.ravel(), kind="stable")
-    cut = np.searchsorted(order.ravel()[by], np.arange(len(pivots) + 1))
-    row, place = (by // depth).astype(np.int64), by % depth
-    for own in orders(q, pivots, depth):
-        gain = np.zeros(len(x))
-        for at, pivot in enumerate(own):
-            post = slice(cut[pivot], cut[pivot + 1])
-            there = place[post]
-            gain[row[post]] += (depth - at) + (depth - there) - np.abs(there - at)
-        if len(x) <= candidates:
-            yield np.arange(len(x))
-        else:
-            least = np.partition(gain, len(x) - candidates)[len(x) - candidates]
-            yield np.flatnonzero(gain >= least) if least > 0 else np.argpartition(gain, len(x) - candidates)[len(x) - candidates :]
+    gain = np.zeros(n, np.int64)
+    for at, pivot in enumerate(own):
+        post = slice(posts.cut[pivot], posts.cut[pivot + 1])
+        there = posts.place[post]
+        gain[posts.row[post]] += (depth - at) + (depth - there) - np.abs(there - at)
+    return gain
+
+
+def offered(gain: np.ndarray, many: int) -> np.ndarray:
+    """The `many` rows of the largest gain; all that tie with the last of them, unless it has none."""
+    if many >= len(gain):
+        return np.arange(len(gain))
+    least = np.partition(gain, len(gain) - many)[len(gain) - many]
+    return np.flatnonzero(gain >= least) if least > 0 else np.argpartition(gain, len(gain) - many)[len(gain) - many :]
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -61,15 +85,24 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = 256, depth: int = 64, sample: int = 4096, candidates: int = 1000, block: int = 8192, query_block: int = 512) -> DataFrame:
+_INDEX = "block long, width long, ids binary, vecs binary, cut binary, row binary, place binary"
+_ASKED = "block long, width long, ids binary, vecs binary, orders binary"
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = 1024, depth: int = 64, sample: int = 4096, share: float = 0.08, block: int = 4096, query_block: int = 256) -> DataFrame:
     """The k nearest rows of each query by cosine: query_id, rank, vec_id, score; a query's own id is no candidate.
 
     Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows without an id; vectors
-    of different widths never meet. Ties go to the smaller id; repeated rows each count. Fewer candidates give fewer rows, an
-    empty table none. Pivots come from a bounded sample; every row is indexed. Rows are cut into blocks of at most `block`,
-    each with inverted files of its own; blocks of at most query_block queries meet each block once, and each block offers
-    its `candidates` rows of the smallest footrule distance for reranking on the original vectors, so recall doesn't fall as
-    blocks are added. Other columns are not read.
+    of different widths never meet. Ties go to the smaller id; repeated rows each count as
+    candidates, and as one query. Fewer candidates give fewer rows, an
+    empty table none. Other columns are not read.
+
+    Pivots come from a bounded sample, by width; every row is indexed: it is represented by its `depth` nearest pivots in
+    order, and posted in their inverted files. These are kept by block of at most `block` rows, and built and written
+    once. Blocks of at most query_block queries meet each of them; a block ranks its rows by the footrule distance of
+    the orders, with partial sums over the query's pivots, and offers `share` of them (LEAST at least) for reranking on the original
+    vectors, so recall doesn't fall as blocks are added. A data block goes to a task once for each GROUP query blocks. A
+    width that the sample hasn't got is compared in full.
     """
     spark = vectors.sparkSession
 
@@ -78,58 +111,81 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         out = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
         return out.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
 
-    data, asked = clean(vectors), clean(queries)
+    data, asked = clean(vectors), clean(queries).dropDuplicates(["id", "v"])
     pivots = pick_pivots(data, n_pivots, sample, "id", "v")
-    if not len(pivots):
+    if not pivots:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = pivots.shape[1]
+    shared = spark.sparkContext.broadcast(pivots)  # at most `sample` vectors
+
+    def pack(size: int, finish):
+        """Rows of up to `size` vectors of one width."""
 
-    def pack(size: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             part, n, held = TaskContext.get().partitionId(), 0, {}
+
+            def row(ids: list[int], vecs: list[np.ndarray]) -> pa.RecordBatch:
+                x = np.array(vecs, "<f8")
+                own = {"block": part << 32 | n, "width": x.shape[1], "ids": np.array(ids, "<i8").tobytes(), "vecs": x.tobytes()} | finish(x, shared.value.get(x.shape[1]))
+                return pa.RecordBatch.from_pydict({c: [v] for c, v in own.items()})
+
             for batch in batches:
                 for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ids, vecs = held.setdefault(len(v), ([], []))
                     ids.append(i)
                     vecs.append(np.array(v))
                     if len(ids) == size:
-                        yield flush(part, n, *held.pop(len(v)))
+                        yield row(*held.pop(len(v)))
                         n += 1
             for ids, vecs in held.values():
-                yield flush(part, n, ids, vecs)
+                yield row(ids, vecs)
                 n += 1
 
         return run
 
-    def flush(part: int, n: int, ids: list[int], vecs: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"block": [part << 32 | n], "width": [len(vecs[0])], "ids": [np.array(ids, "<i8").tobytes()], "vecs": [np.array(vecs, "<f8").tobytes()]})
+    def index(x: np.ndarray, own: np.ndarray | None) -> dict:
+        return {c: a.tobytes() for c, a in invert(orders(x, own, depth), len(own))._asdict().items()} if own is not None else {"cut": b"", "row": b"", "place": b""}
+
+    def ask(x: np.ndarray, own: np.ndarray | None) -> dict:
+        return {"orders": orders(x, own, depth).astype("<i4").tobytes() if own is not None else b""}
 
-    schema = "block long, width long, ids binary, vecs binary"
     n = partitions(spark)
-    left = materialize(asked.repartition(max(1, n // 8)).mapInArrow(pack(query_block), schema), "ann-queries")
-    right = materialize(data.mapInArrow(pack(block), schema), "ann-blocks")
-    # a stated query set meets all rows in blocks: each pair of blocks is one row
-    pairs = left.select("width", F.col("block").alias("q")).join(right.select("width", F.col("block").alias("b")), "width")
-    pairs = pairs.join(left.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "q")
-    pairs = pairs.join(right.select(F.col("block").alias("b"), "ids", "vecs"), "b").repartition(4 * n)
+    left, found = materialize_counted(asked.repartition(max(1, n // 8)).mapInArrow(pack(query_block, ask), _ASKED), "ann-queries")
+    right = materialize(data.mapInArrow(pack(block, index), _INDEX), "ann-index")
+    # a stated query set meets all rows in blocks; each data block's row is followed by the queries of one group
+    groups = max(1, -(-found["n"] // GROUP))
+    grouped = left.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    spread = F.sequence(F.lit(0), F.lit(n - 1))
+    met = right.select("width", F.col("block").alias("b"), F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias("salt")).join(grouped.withColumn("salt", F.explode(spread)), ["width", "salt"])
+    none = F.lit(None).cast("binary")
+    side = met.select("b", "g", F.lit(1).alias("kind"), "width", "ids", "vecs", "orders", none.alias("cut"), none.alias("row"), none.alias("place"))
+    base = right.select(F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(0).alias("kind"), "width", "ids", "vecs", none.alias("orders"), "cut", "row", "place")
+    rows = base.union(side).repartition(4 * n, "b", "g").sortWithinPartitions("b", "g", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, x, posts = None, None, None, None
         for batch in batches:
-            for r in batch.select(["width", "q_ids", "q_vecs", "ids", "vecs"]).to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q, x = np.frombuffer(r["q_vecs"], "<f8").reshape(-1, r["width"]), np.frombuffer(r["vecs"], "<f8").reshape(-1, r["width"])
-                # the few vectors of another width than the pivots' are compared in full
-                found = search_block(q, x, pivots, depth, candidates) if r["width"] == width else (np.arange(len(x)) for _ in q)
+            for at in range(len(batch)):
+                r = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                vecs, own = np.frombuffer(r["vecs"], "<f8").reshape(-1, r["width"]), np.frombuffer(r["ids"], "<i8")
+                if not r["kind"]:
+                    here, ids, x = (r["b"], r["g"]), own, vecs
+                    posts = Inverted(np.frombuffer(r["cut"], "<i8"), np.frombuffer(r["row"], "<i4"), np.frombuffer(r["place"], "<i4")) if r["cut"] else None
+                    continue
+                if here != (r["b"], r["g"]):
+                    raise ValueError("queries without their block")
+                deep = len(r["orders"]) // (4 * len(own))
+                perms = np.frombuffer(r["orders"], "<i4").reshape(len(own), deep)
                 out = []
-                for qid, v, rows in zip(q_ids, q, found, strict=True):
-                    rows = rows[ids[rows] != qid]
-                    s = cosine(v, x[rows])
-                    best = np.lexsort((ids[rows], -s))[:k]
-                    out.append((np.full(len(best), qid), ids[rows][best], s[best]))
+                for qid, v, perm in zip(own, vecs, perms, strict=True):
+                    some = offered(footrule(perm, posts, len(x), deep), max(LEAST, int(share * len(x)))) if posts is not None else np.arange(len(x))
+                    some = some[ids[some] != qid]
+                    s = cosine(v, x[some])
+                    best = np.lexsort((ids[some], -s))[:k]
+                    out.append((np.full(len(best), qid), ids[some][best], s[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    hits = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    hits = rows.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perilattice.llm import exact_dedup, language_model, mixing, ngram_join, packing, permutation_index, substring_dedup, token_files, tokens, toxicity, warc
+from perilattice.llm import exact_dedup, language_model, mixing, ngram_join, packing, substring_dedup, token_files, tokens, toxicity, warc
 from perilattice.llm.common import word_hashes
 
 DOCS = "doc_id long, text string, source string, kept string, uid string"
@@ -176,26 +176,6 @@ def test_compact_windows_cover_each_run_once():
             assert sum(a <= i and j <= b and c == p for a, c, b in w) == 1
 
 
-def test_permutation_index(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(900, 16)).astype(np.float32)
-    x[5] = x[3]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (None, [1.0] * 16)]
-    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = permutation_index.nearest(data, data.where("vec_id % 50 = 0"), block=300).orderBy("query_id", "rank").collect()
-    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    hits = 0
-    for q in range(0, 900, 50):
-        s = y @ y[q]
-        s[q] = -9
-        best = np.lexsort((np.arange(900), -s))[:5]
-        own = [r.vec_id for r in got if r.query_id == q]
-        assert len(own) == 5
-        hits += len({*best.tolist()} & {*own})
-    assert hits >= 0.9 * 90
-    assert permutation_index.nearest(data.where("false"), data).count() == 0
-
-
 def test_word_hashes_agree_between_texts():
     a = word_hashes("The quick\tTHE \n" + "y" * 3_000_000 + " quick")
     assert len(a) == 5 and a[0] == a[2] and a[1] == a[4] and len({*a.tolist()}) == 3
@@ -259,21 +239,3 @@ def test_repeated_passages_in_a_large_group(spark):
     texts = [own(40) + p + own(40) for _ in range(80)] + [own(40) + p[:35] + own(1) + p[35:] + own(40) for _ in range(20)] + [own(100) + p[20:50] + own(100) for _ in range(60)]
     got = passages(spark, texts)
     assert [k for k in sorted(got) if got[k].repeated_words] == list(range(100))
-
-
-def test_permutation_index_ranks_blocks_above_the_candidates(spark):
-    rng = np.random.default_rng(21)
-    x = rng.normal(size=(6000, 32)).astype(np.float32)
-    x[4000:] = x[0] + 0.05 * rng.normal(size=(2000, 32)).astype(np.float32)  # a cluster of near copies, larger than the candidates
-    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
-    got = permutation_index.nearest(data, data.where("vec_id % 60 = 0"), block=6000, candidates=1000).collect()
-    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    hits = {True: [], False: []}
-    for q in range(0, 6000, 60):
-        s = y @ y[q]
-        s[q] = -9
-        best = np.lexsort((np.arange(6000), -s))[:5]
-        own = [r.vec_id for r in got if r.query_id == q]
-        assert len(own) == 5
-        hits[q >= 4000].append(len({*best.tolist()} & {*own}) / 5)
-    assert np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9, {k: np.mean(v) for k, v in hits.items()}
