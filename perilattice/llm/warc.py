@@ -157,58 +157,75 @@ def parse(data: bytes) -> tuple[dict, int]:
     }, cut + 8 + size
 
 
-def inflate(src: Source, at: int, longest: int) -> tuple[bytes, int]:
+def inflate(src: Source, at: int) -> tuple[bytes, int]:
     """A gzip member from position at on, checked by its CRC, and its compressed size."""
-    z, out, pos, size = zlib.decompressobj(31), [], at, 0
+    z, out, pos = zlib.decompressobj(31), [], at
     try:
         while not z.eof:
             block = src.need(pos, 1 << 16)
             if not block:
                 raise Damage("member is cut off")
             out.append(z.decompress(block))
-            size += len(out[-1])
             pos += len(block)
-            if size > longest:
-                raise Damage("member is too long")
     except zlib.error as e:
         raise Damage(f"gzip: {e}") from e
     return b"".join(out), pos - len(z.unused_data) - at
 
 
-def salvage(stream, longest: int = 1 << 30) -> Iterator[dict]:
+def plain_record(src: Source, at: int) -> tuple[dict, int]:
+    """The uncompressed record at a position and its size; its header and body may have any length."""
+    n = 1 << 16
+    while b"\r\n\r\n" not in (data := src.need(at, n)) and len(data) == n:
+        n *= 4
+    size = stated_size(data)
+    if size and size > len(data):
+        data = src.need(at, size)
+    return parse(data)
+
+
+def stated_size(data: bytes) -> int:
+    """Size of the record that data begins with, as its header says; 0 if that can't be read."""
+    cut = data.find(b"\r\n\r\n")
+    m = re.search(rb"(?i)\r\nContent-Length: *(\d{1,15})\r\n", data[: cut + 2]) if cut >= 0 else None
+    return cut + 8 + int(m[1]) if m else 0
+
+
+def stated_end(src: Source, at: int) -> int | None:
+    """Where a damaged plain record ends, if its header's length leads to another record or to the end of the file."""
+    size = stated_size(src.need(at, 1 << 16))
+    if not size:
+        return None
+    after = src.need(at, size + 10)[size - 4 :]
+    if after[:4] == b"\r\n\r\n" and (len(after) == 4 or after[4:].startswith((MEMBER, VERSION[:5]))):
+        return at + size
+    return None
+
+
+def salvage(stream) -> Iterator[dict]:
     """Records and gaps of an archive in order; gaps are the byte ranges that no valid record covers.
 
-    After a failed check the search goes on one byte later for the next gzip member or version line; a mark in the damaged
-    bytes that gives no valid record is passed over, so a gap ends at the next record that passes all checks.
+    After a failed check the search goes on for the next gzip member or version line: past the damaged record where its
+    stated length leads to a record's start, so that text inside it isn't taken for one, else one byte later. A mark that gives
+    no valid record is passed over, so a gap ends at the next record that passes all checks. A record is held in
+    memory as a whole, whatever its length.
     """
     src, at, gap, why = Source(stream), 0, None, ""
-    while src.need(at, 1):
+    while start := src.need(at, 5):
         try:
-            start = src.need(at, 5)
             if start.startswith(MEMBER):
-                data, size = inflate(src, at, longest)
+                data, size = inflate(src, at)
                 rec, used = parse(data)
                 if used != len(data):
                     raise Damage("more than a record in a member")
             elif start == VERSION[:5]:
-                n = 1 << 16
-                while True:
-                    data = src.need(at, n)
-                    try:
-                        rec, size = parse(data)
-                        break
-                    except Damage:
-                        m = re.search(rb"(?i)\r\nContent-Length: *(\d{1,15})", data)
-                        want = data.find(b"\r\n\r\n") + 8 + int(m[1]) if m else 0
-                        if not n < want <= longest:
-                            raise
-                        n = want
+                rec, size = plain_record(src, at)
             else:
                 raise Damage("no record starts here")
         except Damage as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = src.find((MEMBER, VERSION[:5]), at + 1)
+            end = stated_end(src, at) if start == VERSION[:5] else None
+            at = end if end is not None else src.find((MEMBER, VERSION[:5]), at + 1)
             continue
         if gap is not None:
             yield {"offset": gap, "length": at - gap, "gap": True, "reason": why}
@@ -220,26 +237,33 @@ def salvage(stream, longest: int = 1 << 30) -> Iterator[dict]:
         yield {"offset": gap, "length": at - gap, "gap": True, "reason": why}
 
 
-def read_warc(paths: DataFrame) -> DataFrame:
+def read_warc(paths: DataFrame, strict: bool = False) -> DataFrame:
     """Records and quarantined gaps of the archives in column path, plain or with a gzip member per record.
 
     A row with gap true is a byte range without a valid record: path, offset, length and reason, everything else null. Payloads
-    of revisits are null; their length and digest come from the record's headers. Empty files give no rows.
+    of revisits are null; their length and digest come from the record's headers. Empty files give no rows. strict: paths is a
+    manifest, and a file that hasn't its number of records, or has a gap, is an error.
     """
+    names = ["path", "n_records"] if strict else ["path"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, *want in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 store, name = filesystem(path)
                 with store.open_input_stream(name, compression=None) as stream:
-                    rows, size = [], 0
+                    rows, size, seen = [], 0, 0
                     for rec in salvage(stream):
+                        seen += not rec["gap"]
+                        if want and rec["gap"]:
+                            raise ValueError(f"{path}: {rec['length']} bytes at {rec['offset']} hold no valid record: {rec['reason']}")
                         rows.append({"path": path, **rec})
                         size += len(rec.get("payload") or b"")
                         if size > 8 << 20 or len(rows) >= 5000:
                             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
                             rows, size = [], 0
+                    if want and seen != want[0]:
+                        raise ValueError(f"{path} has {seen} of {want[0]} records")
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return paths.select("path").repartition(partitions(paths.sparkSession)).mapInArrow(read, RECORDS)
+    return paths.select(*names).repartition(partitions(paths.sparkSession)).mapInArrow(read, RECORDS)
