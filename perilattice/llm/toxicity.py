@@ -17,7 +17,7 @@ LOOKALIKES = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ɡ": "g", "ı": "i", "ß": "b",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i", "l": "i"}
-#: Words to start from where no labelled row is toxic, and phrases in which a listed word is harmless.
+#: Words to start from where no labelled row is toxic, and phrases in which a listed word is harmless beside those that are learnt.
 SEED = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting")
 EXCEPTIONS = ("pond scum", "trash can", "trash bin", "clown fish", "sore loser", "stupid question")
 PREFIXES = (4, 5, 6)
@@ -40,8 +40,9 @@ _FOLD = _Fold()
 
 
 def fold(text: str | None) -> str:
-    """Folded text between spaces."""
-    return f" {(text or '').translate(_FOLD)} "
+    """Folded words with one space between them and at both ends, whatever separates them in the text."""
+    words = " ".join((text or "").translate(_FOLD).split())
+    return f" {words} " if words else " "
 
 
 @dataclass
@@ -79,7 +80,20 @@ def features(text: str | None, automaton) -> tuple[float, float, float, float]:
                 best[at] = max(w, best.get(at, w))
     for a, b in spared:
         best = {k: w for k, w in best.items() if not a <= k < b}
-    return sum(best.values()), float(len(best)), max(best.values(), default=0.0), float(len(s.split()))
+    return sum(best.values()), float(len(best)), max(best.values(), default=0.0), float(s.count(" ") - 1)
+
+
+def phrases(text: str | None, automaton) -> set[str]:
+    """Pairs of neighbouring words of which the automaton knows one."""
+    s, out = fold(text), set()
+    for end, (n, _) in automaton.iter(s):
+        at = end - n + 1  # the space before the word
+        close = s.find(" ", at + 1)
+        if at > 0:
+            out.add(s[s.rfind(" ", 0, at) + 1 : close])
+        if 0 < close < len(s) - 1:
+            out.add(s[at + 1 : s.find(" ", close + 1)])
+    return out
 
 
 def design(f: np.ndarray) -> np.ndarray:
@@ -101,12 +115,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_entries: int = 50_000, least_gain: float = 20.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_entries: int = 50_000, least_gain: float = 20.0, least_clean: int = 3) -> Model:
     """Learn the lexicon and the coefficients from at most max_rows labelled documents, chosen by a hash of the id.
 
     The rows of labels decide who learns: pass training rows only. Entries are words and word prefixes whose document
     frequency among toxic documents is larger beyond chance (signed G-squared of at least least_gain); at most max_entries,
-    the best. Labels that are null are left out; of several labels of an id the largest holds. Without toxic or clean rows
+    the best. Pairs of words of which the lexicon knows one become exception phrases if at least least_clean clean documents
+    and no toxic one has them. Labels that are null are left out; of several labels of an id the largest holds. Without toxic or clean rows
     a small seed list and set coefficients are used.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -142,7 +157,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if t > c and gain >= least_gain and w >= 1.5:
             weights[r.entry] = (gain, w)
     weights = {k: w for k, (_, w) in sorted(weights.items(), key=lambda x: (-x[1][0], x[0]))[:max_entries]}
-    model = Model(weights, [])
+    model = Model(weights, [], ())
+
+    def harmless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = model.automaton()
+        for batch in batches:
+            count: dict[str, list[int]] = {}
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for phrase in phrases(text, a) if len(a) else ():
+                    count.setdefault(phrase, [0, 0])[y] += 1
+            yield pa.RecordBatch.from_pydict({"phrase": list(count), "clean": [v[0] for v in count.values()], "toxic": [v[1] for v in count.values()]}, schema=pa.schema([("phrase", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+
+    seen = sample.mapInArrow(harmless, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    spared = seen.where((F.col("toxic") == 0) & (F.col("clean") >= least_clean)).orderBy(F.desc("clean"), "phrase").limit(max_entries).collect()
+    model.exceptions = (*EXCEPTIONS, *(r.phrase for r in spared))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.automaton()
