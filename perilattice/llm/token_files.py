@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, partitions, shared_dir
+from .common import filesystem, materialize, partitions, shared_dir, text_bytes
 from .tokens import encoder, tokenizer_path
 
 #: Chunks that a worker remembers here, beside the sort of whole texts.
 MEMO = 300_000
+#: Bytes of text by file, where that makes more files than partitions.
+FILE_BYTES = 1 << 28
 #: Stands for a null id in the index.
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part long, stem string, width int, n_docs long, n_tokens long"
@@ -24,15 +26,15 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     """Encode docs in ascending id order and write <stem>.bin (ids) and <stem>.idx (ids of documents, then offsets).
 
     Returns the manifest, one row per file: part, stem, width (bytes an id: 2 where the vocabulary allows, else 4), n_docs,
-    n_tokens and base, the ids in all files before it (a prefix sum over files). Rows are dealt into id ranges, each task
-    writes its files under a name of its own, and only names that the written manifest holds count, so repeated tasks do
-    no harm. Null ids come first; equal ids keep together in one file; a null text is empty and gives the end id alone.
+    n_tokens and base, the ids in all files before it (a prefix sum over files). Rows are dealt into id ranges by count and
+    size of the texts, each task writes its files under a name of its own, and only names that the written manifest holds count, so repeated tasks do
+    no harm. Null ids come first; equal ids keep together in one file, in order of a hash of their text; a null text is empty and gives the end id alone.
     An empty table gives an empty manifest. Other columns are not read.
     """
     spark = docs.sparkSession
     folder, path = folder or shared_dir(spark, "token-files"), path or tokenizer_path()
-    n = partitions(spark)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    n = max(partitions(spark), text_bytes(docs, text_col) // FILE_BYTES)
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -63,14 +65,26 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def open_tokens(stem: str, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, offsets, token ids) of a file; memory-mapped where the store is local."""
+class Remote:
+    """Numbers of a file that can't be mapped, read by slice."""
+
+    def __init__(self, file, kind: str):
+        self.file, self.kind, self.width = file, kind, np.dtype(kind).itemsize
+
+    def __len__(self) -> int:
+        return self.file.size() // self.width
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        first, last, _ = part.indices(len(self))
+        return np.frombuffer(self.file.read_at((last - first) * self.width, first * self.width), self.kind)
+
+
+def open_tokens(stem: str, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | Remote]:
+    """(document ids, offsets, token ids) of a file; memory-mapped where the store is local, else token ids are read by slice."""
     store, root = filesystem(stem)
 
-    def view(name: str, kind: str) -> np.ndarray:
-        if store.type_name == "local":
-            return np.memmap(name, kind, "r")
-        return np.frombuffer(store.open_input_file(name).read_buffer(), kind)
+    def view(name: str, kind: str):
+        return np.memmap(name, kind, "r") if store.type_name == "local" else Remote(store.open_input_file(name), kind)
 
     index = view(f"{root}.idx", "<i8")
     return index[:n_docs], index[n_docs:], view(f"{root}.bin", f"<u{width}")
@@ -89,7 +103,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 first = 0
                 while first < len(docs):
                     last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (2 << 20), "right")) - 1)
-                    part = tokens[offsets[first] : offsets[last]].astype("<u4")
+                    part = tokens[int(offsets[first]) : int(offsets[last])].astype("<u4")
                     cuts = ((offsets[first : last + 1] - offsets[first]) * 4).astype(np.int64)
                     ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(part.tobytes())]).cast(pa.binary())
                     doc = np.array(docs[first:last])

@@ -8,8 +8,8 @@ from array import array
 
 import numpy as np
 
-#: Chunks that a worker remembers, about 200 bytes each; the memo starts anew beyond that.
-MEMO = 1_000_000
+#: Chunks that a worker remembers, of ENTRY bytes each on average; the memo starts anew beyond so many bytes. Longer chunks than LONGEST aren't kept.
+MEMO, ENTRY, LONGEST = 1_000_000, 200, 256
 #: Fixed values of the tokenizer file: the pattern that cuts pieces.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of printable ASCII and precomposed Latin-1 letters, and SPLIT for their lower-cased form.
@@ -30,40 +30,48 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder(dict):
     """Token ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    Holds for tokenizers whose pieces never span white space and that drop it, as word_bpe_49k does: the text is cut at
+    With the normaliser and the pattern of word_bpe_49k, whose pieces never span white space, the text is cut at
     space, tab, line feed and carriage return, and the ids of its chunks are joined. A chunk is encoded once while the
-    memo holds it: plain ones by piece through the model, others by the whole pipeline.
+    memo holds it: plain ones by piece through the model, others by the whole pipeline. Any other tokenizer gets each text whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.memo = memo
+        self.most, self.held = memo * ENTRY, 0
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize, self.pieces = self.tokenizer.model.tokenize, {}
-        # the fast path holds for this normaliser and this pattern only
+        # chunks hold for this normaliser and this pattern only
         spec = json.loads(self.tokenizer.to_str())
         self.plain = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and SPLIT in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
 
     def encode(self, text: str | None) -> np.ndarray:
-        if len(self) > self.memo:
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
+        if self.held > self.most:
             self.clear()
             self.pieces.clear()
+            self.held = 0
         chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.plain and PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
             out = b"".join([self.pieces.get(x) or self.piece(x) for x in PIECE.findall(chunk.lower())])
         else:
             out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = out
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
+            self.held += 120 + len(chunk) + len(out)
         return out
 
     def piece(self, piece: str) -> bytes:
         known = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
-        out = self.pieces[piece] = array("I", [t.id for t in self.tokenize(known)]).tobytes()
+        out = array("I", [t.id for t in self.tokenize(known)]).tobytes()
+        if len(piece) <= LONGEST:
+            self.pieces[piece] = out
+            self.held += 120 + len(piece) + len(out)
         return out
 
 
