@@ -77,6 +77,8 @@ def test_toxicity(spark, docs):
     seed = toxicity.fit(data, data.where("false"))
     out = toxicity.score(spark.createDataFrame([(1, "idiot moron"), (2, "pond scum")], "doc_id long, text string"), seed).orderBy("doc_id").collect()
     assert [r.hits for r in out] == [2, 0]
+    odd = spark.createDataFrame([(1, "pond  scum"), (2, "pond, scum"), (3, "scum")], "doc_id long, text string")
+    assert [r.hits for r in toxicity.score(odd, seed).orderBy("doc_id").collect()] == [0, 0, 1]
 
 
 def test_tokens_packing_and_files(spark, docs):
