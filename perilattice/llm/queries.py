@@ -22,13 +22,13 @@ def fold_of(column: str = "doc_id"):
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(ascii_lower(text_or_empty("text")), 256).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(ascii_lower(text_or_empty("text")), 256).alias("text_sha256"))
+    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"))
-    return warc.read_warc(manifest).where("not gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_warc(manifest, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
