@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, partitions, shared_dir, text_bytes
+from .common import filesystem, materialize, partitions, shared_dir
 from .tokens import encoder, tokenizer_path
 
 #: Chunks that a worker remembers here, beside the sort of whole texts.
-MEMO = 300_000
-#: Bytes of text by file, where that makes more files than partitions.
+MEMO = 600_000
+#: Bytes of ids after which a task goes on in another file.
 FILE_BYTES = 1 << 28
 #: Stands for a null id in the index.
 NO_ID = np.iinfo(np.int64).min
@@ -26,14 +26,14 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
     """Encode docs in ascending id order and write <stem>.bin (ids) and <stem>.idx (ids of documents, then offsets).
 
     Returns the manifest, one row per file: part, stem, width (bytes an id: 2 where the vocabulary allows, else 4), n_docs,
-    n_tokens and base, the ids in all files before it (a prefix sum over files). Rows are dealt into id ranges by count and
-    size of the texts, each task writes its files under a name of its own, and only names that the written manifest holds count, so repeated tasks do
-    no harm. Null ids come first; equal ids keep together in one file, in order of a hash of their text; a null text is empty and gives the end id alone.
+    n_tokens and base, the ids in all files before it (a prefix sum over files). Rows are dealt into id ranges, each task
+    writes its files under a name of its own, and only names that the written manifest holds count, so repeated tasks do
+    no harm. Null ids come first; equal ids follow one another in order of a hash of their text; a null text is empty and gives the end id alone.
     An empty table gives an empty manifest. Other columns are not read.
     """
     spark = docs.sparkSession
     folder, path = folder or shared_dir(spark, "token-files"), path or tokenizer_path()
-    n = max(partitions(spark), text_bytes(docs, text_col) // FILE_BYTES)
+    n = partitions(spark)
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,22 +43,31 @@ def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str =
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
-        stem = f"{part:06d}-{uuid.uuid4().hex}"
-        ids, ends, total, out = [], [], 0, None
         end = np.array([end_id], f"<u{width}").tobytes()
+        ids, ends, total, out, stem, n = [], [], 0, None, "", 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            with store.open_output_stream(f"{root}/{stem}.idx") as f:
+                f.write(np.array(ids, "<i8").tobytes() + np.array([0, *ends], "<i8").tobytes())
+            row = {"part": part << 24 | n, "stem": f"{folder}/{stem}", "width": width, "n_docs": len(ids), "n_tokens": total}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int64()), ("stem", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = out or store.open_output_stream(f"{root}/{stem}.bin")
+                if not out:
+                    stem = f"{part:06d}-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(f"{root}/{stem}.bin")
                 tokens = enc.encode(text.as_py())
                 out.write(tokens.astype(f"<u{width}").tobytes() + end)
                 total += len(tokens) + 1
                 ids.append(NO_ID if doc_id is None else doc_id)
                 ends.append(total)
+                if total * width >= FILE_BYTES:
+                    yield close()
+                    ids, ends, total, out, n = [], [], 0, None, n + 1
         if out:
-            out.close()
-            with store.open_output_stream(f"{root}/{stem}.idx") as f:
-                f.write(np.array(ids, "<i8").tobytes() + np.array([0, *ends], "<i8").tobytes())
-            yield pa.RecordBatch.from_pylist([{"part": part, "stem": f"{folder}/{stem}", "width": width, "n_docs": len(ids), "n_tokens": total}], schema=pa.schema([("part", pa.int64()), ("stem", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield close()
 
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file

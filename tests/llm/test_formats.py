@@ -48,7 +48,9 @@ def test_packing_loses_and_repeats_no_id(docs):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
-def test_token_files_give_back_every_id(docs):
+@pytest.mark.parametrize("size", [1 << 28, 500])
+def test_token_files_give_back_every_id(docs, size, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", size)
     enc = tokens.Encoder(tokens.tokenizer_path())
     got = token_files.read_token_files(token_files.write_token_files(docs)).orderBy("start").collect()
     want = sorted(((r[0] if r[0] is not None else -1), zlib.crc32(ids_of(enc, r[1], 1))) for r in ROWS)
