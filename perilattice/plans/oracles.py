@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .trajectories import CELL, FRACTIONS, NET, TRAJ
+from .trajectories import CELL, FRACTIONS, GRID, NET, TRAJ
 
 CUTOFFS = [("P", "O", 2.9), ("Al", "O", 2.9)]
 MODIFIER = [("Zn", "O", 2.3)]
@@ -185,6 +185,21 @@ _ANG = lambda i, j: f"round(degrees(acos(({' + '.join(f'm{i}{k} * m{j}{k}' for k
 # joining: the cube's cell, lengthened along z, with the tilted cell behind it
 _OFFSETS = {j: " + ".join(f"m{i}{j} / l{i} * {'(16e0 + 1.5e0)' if i == 2 else f'((greatest(16e0, l{i}) - l{i}) / 2e0)'}" for i in range(3)) for j in range(3)}
 
+_BADER = f"""with recursive g as ({GRID.format(part='part')}),
+s as (select unnest([-1, 0, 1]) as v), o as (select a.v as a, b.v as b, c.v as c, (a.v + 1) * 9 + (b.v + 1) * 3 + c.v + 1 as o from s a, s b, s c where a.v <> 0 or b.v <> 0 or c.v <> 0),
+e as (select g.file, g.k, g.value, o.o, 1e0 / sqrt(o.a * o.a + o.b * o.b + o.c * o.c) as inverse, (g.i0 + o.a + 5) % 5 + 5 * ((g.i1 + o.b + 5) % 5 + 5 * ((g.i2 + o.c + 8) % 8)) as to_ from g cross join o),
+u as (select e.file, e.k, e.to_, e.o, e.value + (h.value - e.value) * e.inverse as up, e.value from e join g h on h.file = e.file and h.k = e.to_),
+x as (select file, k, to_ from (select *, row_number() over (partition by file, k order by up desc, o) as rn from u where up > value) where rn = 1),
+r as (select file, k, k as cur from g union select r.file, r.k, x.to_ from r join x on x.file = r.file and x.k = r.cur),
+p as (select r.file, r.k, r.cur as peak from r left join x on x.file = r.file and x.k = r.cur where x.k is null),
+f as (select file, peak, min(k) as first from p group by all), n as (select file, peak, row_number() over (partition by file order by first)::bigint as volume from f),
+q as (select p.file, p.k, p.peak, n.volume, g.value, abs(g.value) / 200e0 <= 0.02e0 as empty from p join n using (file, peak) join g using (file, k)),
+z as (select file, volume, any_value(peak)::bigint as peak, coalesce(sum(value) filter (where not empty), 0) / 200e0 as charge, count(*) filter (where not empty) as points from q group by file, volume),
+t as (select file, k as aid, i0 + 0.25e0 as x, i1 + 0.25e0 as y, i2 + 0.25e0 as z from g where k % 25 = 7),
+d as (select z.*, t.aid, (peak % 5 - t.x) / 5e0 as h0, (floor(peak / 5) % 5 - t.y) / 5e0 as h1, (floor(peak / 25) - t.z) / 8e0 as h2 from z left join t using (file)),
+w as (select *, sqrt(pow((h0 - floor(h0 + 0.5e0)) * 5e0, 2) + pow((h1 - floor(h1 + 0.5e0)) * 5e0, 2) + pow((h2 - floor(h2 + 0.5e0)) * 8e0, 2)) as dist from d),
+v as (select file, volume, peak, charge, points, points * 1e0 as size, aid, dist as distance from (select *, row_number() over (partition by file, volume order by dist, aid) as rn from w) where rn = 1)"""
+
 ORACLES = {
     "number_density": f"{_TILT}, v as (select distinct file, frame, volume from a) select file, n, round(n * inv, 6) as rho, round(vm, 6) as v_mean, round(vs, 6) as v_sd from (select file, (count(*) / any_value(nf))::bigint as n from a join nf using (file) group by file) join (select file, avg(1 / volume) as inv, avg(volume) as vm, stddev_pop(volume) as vs from v group by file) using (file)",
     "radial_distribution": _GR,
@@ -278,4 +293,7 @@ select file, 'O' as element, -2::int as state from s union all select file, 'Si'
     "pdb_round_trip": f"{_HEAD} select file, frame, aid, element, 16e0 as m00 from a",
     "cube_round_trip": f"{_HEAD}, g as (select * from (select unnest(range(5))::bigint as ix) cross join (select unnest(range(5))::bigint as iy) cross join (select unnest(range(5))::bigint as iz)), h as (select file, {', '.join(f'floor({x} * 5 / 16e0)::bigint as i{x}' for x in 'xyz')}, count(*) as c from a group by all) select nf.file, g.ix as i0, g.iy as i1, g.iz as i2, coalesce(c, 0)::double as value, 16e0 as m00 from nf cross join g left join h on h.file = nf.file and h.ix = g.ix and h.iy = g.iy and h.iz = g.iz where nf.file < 2",
     "csv_table": f"{_NETS}, {_MEANS} select 0::int as part, '# pooled means' as line union all select 1, 'file,element,mean_cn,mean_qn,mean_n_bo' union all select 2, file || ',' || element || ',' || {_sci('mean_cn')} || ',' || {_sci('mean_qn')} || ',' || {_sci('mean_n_bo')} from pm",
+    "charge_volumes": f"{_BADER} select file, volume, peak, round(charge, 6) as charge, points, round(size, 6) as size, aid, round(distance, 6) as distance from v union all select file, 0, -1, null, count(*), count(*) * 1e0, -1, null from q where empty group by file",
+    "atom_charges": f"{_BADER} select t.file, t.aid, round(coalesce(sum(charge), 0), 6) as charge, round(coalesce(sum(size), 0), 6) as size, round(min(distance), 6) as distance from t left join v on v.file = t.file and v.aid = t.aid group by t.file, t.aid",
+    "streamed_voxels": f"{_HEAD} select file, {', '.join(f'floor({x} / 4e0)::bigint as i{x}' for x in 'xyz')}, count(*)::bigint as count from a group by all",
 }

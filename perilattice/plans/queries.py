@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import building, dynamics, network, selection, structure
+from ..operators import building, charges, dynamics, network, selection, structure
 from ..sources import grid, sinks, text
 from .oracles import CUTOFFS, LENGTHS, MODIFIER, ORACLES, STATES, WEIGHTS, XRAY
-from .trajectories import cube, net, tilted
+from ..streaming import frames as streamed
+from .trajectories import charge_grid, cube, net, tilted
 
 __all__ = ["ORACLES", "QUERIES"]
 GR = (0.01, 4.0, 0.23)
@@ -178,6 +179,24 @@ def _csv(s: SparkSession, d: str) -> DataFrame:
     return sinks.csv_lines(table, ["file", "element"], ["pooled means"]).select("part", "line")
 
 
+def _volumes(s: SparkSession, d: str) -> DataFrame:
+    points, atoms = charge_grid(s, d)
+    return _rounded(charges.volume_charges(points, atoms, 0.02), "charge", "size", "distance").na.fill(-1, ["peak", "aid"])
+
+
+def _atom_charges(s: SparkSession, d: str) -> DataFrame:
+    points, atoms = charge_grid(s, d)
+    return _rounded(charges.atom_charges(charges.volume_charges(points, atoms, 0.02), atoms), "charge", "size", "distance")
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Voxel counts of atoms that arrive as files of a stream."""
+    folder, name = _folder(s), f"voxels_{uuid.uuid4().hex}"
+    cube(s, d)[0].select("file", "x", "y", "z").write.parquet(f"{folder}/atoms")
+    stream = s.readStream.schema("file long, x double, y double, z double").option("maxFilesPerTrigger", 4).parquet(f"{folder}/atoms")
+    return streamed.run_once(streamed.voxel_counts(stream, (16.0, 16.0, 16.0), (4, 4, 4)), name, f"{folder}/state")
+
+
 _TILT_GR = ("r", "gr", "cn", "rho_g")
 QUERIES = {
     "radial_distribution": _gr,
@@ -236,4 +255,7 @@ QUERIES = {
     "pdb_round_trip": _pdb,
     "cube_round_trip": _grid,
     "csv_table": _csv,
+    "charge_volumes": _volumes,
+    "atom_charges": _atom_charges,
+    "streamed_voxels": _streamed,
 }

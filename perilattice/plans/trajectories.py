@@ -42,6 +42,20 @@ select file, frame, aid, (aid + frame + file) % 10 as h, case when aid < 64 then
 select {FILE}, cast(n_nationkey as bigint) as frame, {AID},
  ((p_partkey % 200 + 128) * 7 + n_nationkey * 5 + cast(floor(p_partkey / 200) as bigint)) % 192 as e from {{part}} cross join {{nation}}) t1) t2) t3) t4"""
 
+#: A charge grid of 5 x 5 x 8 points for each 200 parts, with bumps and ties; its cell has edges 5, 5 and 8.
+GRID = f"""select file, aid as k, aid % 5 as i0, cast(floor(aid / 5) as bigint) % 5 as i1, cast(floor(aid / 25) as bigint) as i2,
+ ((aid * 37 + file * 11) % 16) / 2e0 + (2e0 - abs(aid % 5 - 2e0)) * 4e0 + (4e0 - abs(cast(floor(aid / 25) as bigint) - 4e0)) * 3e0 as value
+ from (select {FILE}, {AID} from {{part}}) t"""
+
+
+def charge_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(grid, atoms): the grid's points as sources.grid gives them, and eight atoms a file."""
+    rows = spark.sql(GRID.format(part=f"parquet.`{sf_dir}/part.parquet`"))
+    cell = F.array(*[F.lit(float(x)) for x in (5, 0, 0, 0, 5, 0, 0, 0, 8)])
+    shape = [F.lit(n).cast("long").alias(f"n{i}") for i, n in enumerate((5, 5, 8))]
+    atoms = rows.where("k % 25 = 7").select("file", F.col("k").alias("aid"), *[(F.col(f"i{i}") + 0.25).alias(x) for i, x in enumerate("xyz")])
+    return rows.select("file", *shape, cell.alias("cell"), "i0", "i1", "i2", "value"), atoms
+
 
 def _load(sql: str, cell: dict[str, str]):
     def run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
