@@ -136,7 +136,7 @@ def rotational_correlation(atoms: DataFrame, frames: DataFrame, center: str, nei
 
     Means are over the centres that have bonds in both frames, then over all origins; an origin without any counts 0.
     """
-    u = pairs(atoms, frames, rcut, ordered=True).where((F.col("el_a") == center) & (F.col("el_b") == neighbor))
+    u = pairs(atoms, frames, rcut, sides=([center], [neighbor]))
     u = u.groupBy("file", "frame", F.col("a").alias("aid")).agg(*[F.sum(f"d{x}").alias(f"u{x}") for x in "xyz"])
     u = once(u, n2=_squared(["ux", "uy", "uz"])).where("n2 >= 1e-30")
     n = atoms.groupBy("file").agg((F.max("frame") + 1).alias("n"))

@@ -52,8 +52,7 @@ def _masses(s: SparkSession) -> DataFrame:
 def _bonds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     network.validate(CUTOFFS, MODIFIER, QN)
     atoms, frames = net(s, d)
-    cutoffs = s.createDataFrame(CUTOFFS, "el_f string, el_l string, cutoff double")
-    return atoms, frames, network.bonds(atoms.where(F.col("element").isin(FORMERS + LIGANDS)), frames, cutoffs, max(c for _, _, c in CUTOFFS))
+    return atoms, frames, network.bonds(atoms, frames, CUTOFFS)
 
 
 def _formers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -67,8 +66,7 @@ def _ligands(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _modifiers(s: SparkSession, d: str) -> DataFrame:
-    atoms, frames = net(s, d)
-    return network.modifiers(atoms, frames, s.createDataFrame(MODIFIER, "el_f string, el_l string, cutoff double"), max(c for _, _, c in MODIFIER), [m for m, _, _ in MODIFIER])
+    return network.modifiers(*net(s, d), MODIFIER)
 
 
 def _share(rows: DataFrame, by: list[str], frames: DataFrame) -> DataFrame:

@@ -18,10 +18,6 @@ def world(spark, rows, edge):
     return atoms, frames
 
 
-def cutoffs(spark, *rows):
-    return spark.createDataFrame(list(rows), "el_f string, el_l string, cutoff double")
-
-
 def test_simple_cubic_has_six_neighbours(spark):
     rows = [(0, i * 9 + j * 3 + k, "Fe", 2.87 * i, 2.87 * j, 2.87 * k) for i in range(3) for j in range(3) for k in range(3)]
     gr = structure.radial_distribution(*world(spark, rows, 2.87 * 3), 0.1, 3.9, 0.01).orderBy("bin").collect()
@@ -55,6 +51,9 @@ def test_pairs_equal_brute_force_in_a_tilted_cell(spark, cut):
     want = {(i, j): d2[i, j] for i in range(60) for j in range(i + 1, 60) if d2[i, j] < cut * cut}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     both = {(r.a, r.b): (r.dx, r.dy, r.dz) for r in neighbors.pairs(atoms, frames, cut, ordered=True).collect()}
+    some = atoms.withColumn("element", F.when(F.col("aid") % 3 == 0, "B").otherwise("A"))
+    sided = {(r.a, r.b) for r in neighbors.pairs(some, frames, cut, sides=(["B"], ["A"])).collect()}
+    assert sided == {k for k in [*want, *[x[::-1] for x in want]] if k[0] % 3 == 0 and k[1] % 3}
     assert len(both) == 2 * len(want) and all(abs(both[b, a][0] + v[0]) < 1e-12 for (a, b), v in both.items())
 
 
@@ -105,7 +104,7 @@ def bridge(spark):
 
 def test_network_of_a_bridge(spark):
     atoms, frames = bridge(spark)
-    b = network.bonds(atoms, frames, cutoffs(spark, ("P", "O", 2.3)), 2.3)
+    b = network.bonds(atoms, frames, [("P", "O", 2.3)])
     f = network.formers(atoms, b, ["P"])
     assert sorted((r.n, r.cn, r.n_bo, r.bridges) for r in f.collect()) == [(1, 2, 1, {"P": 1}), (1, 2, 1, {"P": 1})]
     lig = network.ligand_classes(atoms, b, ["O"])
