@@ -290,6 +290,9 @@ select file, 'O' as element, -2::int as state from s union all select file, 'Si'
     "extxyz_round_trip": f"{_TILT} select file, frame, aid, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a",
     "dump_round_trip": f"{_TILT} select file, frame, aid, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a",
     "poscar_round_trip": f"{_TILT} select file, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a where frame = 0",
+    "data_round_trip": f"{_TILT} select file, aid, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a where frame = 0",
+    "qe_round_trip": f"{_TILT} select file, aid, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a where frame = 0",
+    "cif_round_trip": f"{_TILT} select file, frame, aid, element, {', '.join(f'round({x} + 1.23e-5, 4) as {x}' for x in 'xyz')}, round(m00 + 1.23e-5, 4) as m00, round(m21 + 1.23e-5, 4) as m21 from a",
     "pdb_round_trip": f"{_HEAD} select file, frame, aid, element, 16e0 as m00 from a",
     "cube_round_trip": f"{_HEAD}, g as (select * from (select unnest(range(5))::bigint as ix) cross join (select unnest(range(5))::bigint as iy) cross join (select unnest(range(5))::bigint as iz)), h as (select file, {', '.join(f'floor({x} * 5 / 16e0)::bigint as i{x}' for x in 'xyz')}, count(*) as c from a group by all) select nf.file, g.ix as i0, g.iy as i1, g.iz as i2, coalesce(c, 0)::double as value, 16e0 as m00 from nf cross join g left join h on h.file = nf.file and h.ix = g.ix and h.iy = g.iy and h.iz = g.iz where nf.file < 2",
     "csv_table": f"{_NETS}, {_MEANS} select 0::int as part, '# pooled means' as line union all select 1, 'file,element,mean_cn,mean_qn,mean_n_bo' union all select 2, file || ',' || element || ',' || {_sci('mean_cn')} || ',' || {_sci('mean_qn')} || ',' || {_sci('mean_n_bo')} from pm",

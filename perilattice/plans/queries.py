@@ -100,10 +100,10 @@ def _folder(s: SparkSession) -> str:
     return f"{base.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
 
 
-def _back(rows: DataFrame, *names: str) -> DataFrame:
-    """What a reader found in files that write_blocks wrote, by the number in the folder's name."""
+def _back(rows: DataFrame, *names: str, digits: int = 6, shift: float = 0.0) -> DataFrame:
+    """What a reader found in files that write_blocks wrote, by the number in the folder's name; shifted off the halves of the last digit."""
     out = rows.withColumn("file", F.regexp_extract("file", r"file=(\d+)", 1).cast("long"))
-    return out.select("file", "frame", "aid", "element", *[F.round(c, 6).alias(c) for c in names])
+    return out.select("file", "frame", "aid", "element", *[F.round(F.col(c) + shift, digits).alias(c) for c in names])
 
 
 def _files(s: SparkSession, folder: str) -> list[str]:
@@ -128,6 +128,18 @@ def _poscar(s: SparkSession, d: str) -> DataFrame:
     return _back(text.read_lines(s, _files(s, folder), text.parse_poscar), "x", "y", "z", "m00", "m21").select("file", "element", "x", "y", "z", "m00", "m21")
 
 
+def _first_frame(s: SparkSession, d: str, blocks, parse) -> DataFrame:
+    folder = _folder(s)
+    sinks.write_blocks(blocks(*tilted(s, d)), folder)
+    return _back(text.read_lines(s, _files(s, folder), parse), "x", "y", "z", "m00", "m21").drop("frame")
+
+
+def _cif(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    sinks.write_blocks(sinks.cif_blocks(*tilted(s, d)), folder)
+    return _back(text.read_lines(s, _files(s, folder), text.parse_cif), "x", "y", "z", "m00", "m21", digits=4, shift=1.23e-5)
+
+
 def _pdb(s: SparkSession, d: str) -> DataFrame:
     folder, (atoms, frames) = _folder(s), cube(s, d)
     sinks.write_blocks(sinks.pdb_blocks(atoms, frames), folder)
@@ -251,6 +263,9 @@ QUERIES = {
     "dump_round_trip": _dump,
     "poscar_round_trip": _poscar,
     "pdb_round_trip": _pdb,
+    "data_round_trip": lambda s, d: _first_frame(s, d, sinks.lammps_data_blocks, text.parse_lammps_data),
+    "qe_round_trip": lambda s, d: _first_frame(s, d, sinks.qe_blocks, text.parse_qe),
+    "cif_round_trip": _cif,
     "cube_round_trip": _grid,
     "csv_table": _csv,
     "charge_volumes": _volumes,

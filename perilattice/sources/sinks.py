@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.elements import mass_of
 from ..functions.geometry import CELL, cartesian, fractional, once
 from ..functions.units import factor
 
@@ -46,18 +47,9 @@ def dump_blocks(atoms: DataFrame, frames: DataFrame, units: str = "real", veloci
 
     Type numbers go by first appearance over the whole trajectory; the time step is the frame's number.
     """
-    length = lambda i: F.sqrt(sum((F.col(f"m{i}{k}") * F.col(f"m{i}{k}") for k in range(3)), F.lit(0.0)))
-    dot = lambda i, j: sum((F.col(f"m{i}{k}") * F.col(f"m{j}{k}") for k in range(3)), F.lit(0.0))
-    c = once(frames.select(*KEY, *CELL), lx=length(0), xy=dot(0, 1) / length(0), xz=dot(0, 2) / length(0), bb=dot(1, 1), bc=dot(1, 2), cc=dot(2, 2))
-    c = once(c, ly=F.sqrt(F.greatest(F.lit(0.0), F.col("bb") - F.col("xy") * F.col("xy"))))
-    c = once(c, yz=F.when(F.col("ly") > 1e-10, (F.col("bc") - F.col("xy") * F.col("xz")) / F.col("ly")).otherwise(0.0))
-    c = once(c, lz=F.sqrt(F.greatest(F.lit(0.0), F.col("cc") - F.col("xz") * F.col("xz") - F.col("yz") * F.col("yz"))))
-    c = c.select(*KEY, "lx", "ly", "lz", "xy", "xz", "yz")
-    first = atoms.groupBy("file", "element").agg(F.min(F.struct("frame", "aid")).alias("f"))
-    kinds = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("kinds"))
-    f = fractional(atoms, frames).drop(*CELL).join(c, KEY).join(kinds, "file")
-    turned = {"m00": "lx", "m10": "xy", "m11": "ly", "m20": "xz", "m21": "yz", "m22": "lz"}
-    f = f.withColumns({name: F.col(turned[name]) if name in turned else F.lit(0.0) for name in CELL})
+    f, c = turned(atoms, frames)
+    kind = _types(atoms)
+    f = f.join(kind, "file")
     kind = F.array_position(F.transform("kinds", lambda k: k["element"]), F.col("element"))
     speed = 1.0 if units == "real" else 1000.0
     parts = [(F.col("aid") + 1).cast("string"), kind.cast("string"), "element", *[_num(cartesian(k, "fx", "fy", "fz")) for k in range(3)]]
@@ -74,6 +66,73 @@ def dump_blocks(atoms: DataFrame, frames: DataFrame, units: str = "real", veloci
     return out.select(*KEY, block.alias("block"))
 
 
+def _types(atoms: DataFrame) -> DataFrame:
+    """file and kinds, its elements in order of first appearance."""
+    first = atoms.groupBy("file", "element").agg(F.min(F.struct("frame", "aid")).alias("f"))
+    return first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("kinds"))
+
+
+def turned(atoms: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(atoms with fx, fy, fz and the turned cell, file and frame with lx, ly, lz, xy, xz, yz): a along x, b in the xy plane."""
+    length = lambda i: F.sqrt(sum((F.col(f"m{i}{k}") * F.col(f"m{i}{k}") for k in range(3)), F.lit(0.0)))
+    dot = lambda i, j: sum((F.col(f"m{i}{k}") * F.col(f"m{j}{k}") for k in range(3)), F.lit(0.0))
+    c = once(frames.select(*KEY, *CELL), lx=length(0), xy=dot(0, 1) / length(0), xz=dot(0, 2) / length(0), bb=dot(1, 1), bc=dot(1, 2), cc=dot(2, 2))
+    c = once(c, ly=F.sqrt(F.greatest(F.lit(0.0), F.col("bb") - F.col("xy") * F.col("xy"))))
+    c = once(c, yz=F.when(F.col("ly") > 1e-10, (F.col("bc") - F.col("xy") * F.col("xz")) / F.col("ly")).otherwise(0.0))
+    c = once(c, lz=F.sqrt(F.greatest(F.lit(0.0), F.col("cc") - F.col("xz") * F.col("xz") - F.col("yz") * F.col("yz"))))
+    c = c.select(*KEY, "lx", "ly", "lz", "xy", "xz", "yz")
+    own = {"m00": "lx", "m10": "xy", "m11": "ly", "m20": "xz", "m21": "yz", "m22": "lz"}
+    f = fractional(atoms, frames).drop(*CELL).join(c, KEY)
+    return f.withColumns({name: F.col(own[name]) if name in own else F.lit(0.0) for name in CELL}), c
+
+
+def lammps_data_blocks(atoms: DataFrame, frames: DataFrame) -> DataFrame:
+    """file, frame, block of the first frame as a LAMMPS data file, style full, with the cell turned as in a dump."""
+    first = atoms.groupBy("file").agg(F.min("frame").alias("frame"))
+    own = atoms.join(first, KEY)
+    f, c = turned(own, frames)
+    kinds = _types(own)
+    f = f.join(kinds, "file")
+    kind = F.array_position(F.transform("kinds", lambda k: k["element"]), F.col("element"))
+    charge = F.coalesce("charge", F.lit(0.0)) if "charge" in atoms.columns else F.lit(0.0)
+    out = _lines(f, _row((F.col("aid") + 1).cast("string"), F.lit("1"), kind.cast("string"), _num(charge, 6), *[_num(cartesian(k, "fx", "fy", "fz")) for k in range(3)])).join(c, KEY).join(kinds, "file")
+    masses = F.array_join(F.transform("kinds", lambda k, i: F.concat((i + 1).cast("string"), F.lit(" "), F.format_string("%.4f", mass_of(k["element"])), F.lit("  # "), k["element"])), "\n")
+    box = [F.concat(_num(F.lit(0.0)), F.lit(" "), _num(f"l{x}"), F.lit(f" {x}lo {x}hi")) for x in "xyz"]
+    tilt = F.when((F.col("xy") != 0) | (F.col("xz") != 0) | (F.col("yz") != 0), F.concat(_row(_num("xy"), _num("xz"), _num("yz")), F.lit(" xy xz yz")))
+    count = [F.concat(F.col("n").cast("string"), F.lit(" atoms")), F.concat(F.size("kinds").cast("string"), F.lit(" atom types"))]
+    empty = F.lit("")
+    return out.select(*KEY, F.concat_ws("\n", F.lit("structure"), empty, *count, empty, *box, tilt, empty, F.lit("Masses"), empty, masses, empty, F.lit("Atoms # full"), empty, "lines").alias("block"))
+
+
+def qe_blocks(atoms: DataFrame, frames: DataFrame, charge: int = 0, multiplicity: int = 1) -> DataFrame:
+    """file, frame, block of the first frame as a pw.x input: cell and positions in Angstrom."""
+    first = atoms.groupBy("file").agg(F.min("frame").alias("frame"))
+    own = atoms.join(first, KEY)
+    out = _lines(own, _row("element", *[_num(x) for x in "xyz"])).join(_types(own), "file").join(frames.select(*KEY, *CELL), KEY)
+    species = F.array_join(F.transform("kinds", lambda k: F.concat(k["element"], F.lit("  "), F.format_string("%.4f", mass_of(k["element"])), F.lit("  "), k["element"], F.lit(".UPF"))), "\n")
+    system = F.concat(F.lit("  ibrav = 0,\n  nat = "), F.col("n").cast("string"), F.lit(",\n  ntyp = "), F.size("kinds").cast("string"), F.lit("," + f"\n  tot_charge = {charge}," * bool(charge) + f"\n  tot_magnetization = {multiplicity - 1}," * (multiplicity != 1)))
+    head = [F.lit("&CONTROL\n  calculation = 'scf',\n/\n&SYSTEM"), system, F.lit("/\n&ELECTRONS\n/\nATOMIC_SPECIES"), species, F.lit("CELL_PARAMETERS {angstrom}")]
+    rows = [_row(*[_num(f"m{i}{k}") for k in range(3)]) for i in range(3)]
+    return out.select(*KEY, F.concat_ws("\n", *head, *rows, F.lit("ATOMIC_POSITIONS {angstrom}"), "lines").alias("block"))
+
+
+def cif_blocks(atoms: DataFrame, frames: DataFrame) -> DataFrame:
+    """file, frame, block: a data block for each frame, its cell by lengths and angles, sites by fractions in P 1."""
+    length = [F.sqrt(sum((F.col(f"m{i}{k}") * F.col(f"m{i}{k}") for k in range(3)), F.lit(0.0))) for i in range(3)]
+    angle = lambda i, j: F.degrees(F.acos(sum((F.col(f"m{i}{k}") * F.col(f"m{j}{k}") for k in range(3)), F.lit(0.0)) / (length[i] * length[j])))
+    values = {"length_a": length[0], "length_b": length[1], "length_c": length[2], "angle_alpha": angle(1, 2), "angle_beta": angle(0, 2), "angle_gamma": angle(0, 1)}
+    cell = frames.select(*KEY, *[_num(c).alias(name) for name, c in values.items()])
+    out = _lines(fractional(atoms, frames), _row(F.concat("element", (F.col("aid") + 1).cast("string")), "element", *[_num(f"f{x}") for x in "xyz"])).join(cell, KEY)
+    head = [F.concat(F.lit(f"_cell_{name} "), name) for name in values]
+    names = F.lit("loop_\n_symmetry_equiv_pos_as_xyz\n'x, y, z'\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z")
+    return out.select(*KEY, F.concat_ws("\n", F.concat(F.lit("data_frame_"), F.col("frame").cast("string")), *head, names, "lines").alias("block"))
+
+
+def output_name(mode: str, table: str = "", label: str = "", suffix: str = "") -> str:
+    """<mode>[_<table>][_<label>][_<suffix>].csv; a table that is named as its mode isn't named twice."""
+    return "_".join([mode, *[x for x in ("" if table == mode else table, label, suffix) if x]]) + ".csv"
+
+
 def poscar_blocks(atoms: DataFrame, frames: DataFrame) -> DataFrame:
     """file, frame, block of the first frame: elements in order of first appearance, Cartesian positions."""
     first = atoms.groupBy("file").agg(F.min("frame").alias("frame"))

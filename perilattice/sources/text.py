@@ -66,7 +66,7 @@ def format_of(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     if name.upper().startswith(("POSCAR", "CONTCAR")):
         return "poscar"
-    known = {"xyz": "extxyz", "extxyz": "extxyz", "pdb": "pdb", "cif": "cif", "vasp": "poscar", "poscar": "poscar", "data": "lammps_data", "lmp": "lammps_data", "dump": "dump", "lammpstrj": "dump"}
+    known = {"xyz": "extxyz", "extxyz": "extxyz", "pdb": "pdb", "cif": "cif", "vasp": "poscar", "poscar": "poscar", "data": "lammps_data", "lmp": "lammps_data", "dump": "dump", "lammpstrj": "dump", "inp": "cp2k", "restart": "cp2k", "in": "qe", "pwi": "qe"}
     end = name.rsplit(".", 1)[-1] if "." in name else ""
     if end not in known:
         raise ValueError(f"no reader for {path}")
@@ -394,7 +394,82 @@ def read_lammps_dump(spark: SparkSession, paths: str | list[str], units: str = "
     return out.withColumn("aid", (F.row_number().over(Window.partitionBy("file", "frame").orderBy("id")) - 1).cast("long")).select(*COLUMNS)
 
 
-PARSERS = {"extxyz": parse_extxyz, "pdb": parse_pdb, "poscar": parse_poscar, "cif": parse_cif, "lammps_data": parse_lammps_data}
+# --- inputs of plane-wave and Gaussian codes ----------------------------------------------------------------------------
+
+
+def parse_qe(lines: Iterator[str]) -> Iterator[dict]:
+    """One frame of a pw.x input with ibrav = 0: cell and positions in Angstrom, bohr or crystal units; a site's name is its label."""
+    card, unit, cell, rows = "", "", [], []
+    for line in lines:
+        body = line.split("!")[0].strip()
+        if m := re.search(r"(?i)\bibrav\s*=\s*(-?\d+)", body):
+            if int(m[1]):
+                raise ValueError("only ibrav = 0 can be read")
+        if m := re.match(r"(?i)(CELL_PARAMETERS|ATOMIC_POSITIONS|ATOMIC_SPECIES|K_POINTS|CONSTRAINTS|OCCUPATIONS|ATOMIC_FORCES)\b\W*(\w*)", body):
+            card, unit = m[1].upper(), m[2].lower()
+            if (card, unit) == ("ATOMIC_POSITIONS", "alat"):
+                raise ValueError("positions in units of alat can't be read")
+        elif body.startswith(("&", "/")):
+            card = ""
+        elif card == "CELL_PARAMETERS" and len(w := body.split()) >= 3 and len(cell) < 9:
+            cell += [float(x) * (BOHR if unit == "bohr" else 1.0) for x in w[:3]]
+        elif card == "ATOMIC_POSITIONS" and len(w := body.split()) >= 4:
+            rows.append((w[0], [float(x) for x in w[1:4]], unit))
+    if len(cell) < 9:
+        raise ValueError("CELL_PARAMETERS must have three vectors")
+    for aid, (name, v, unit) in enumerate(rows):
+        p = cartesian(v, cell) if unit == "crystal" else [x * (BOHR if unit == "bohr" else 1.0) for x in v]
+        yield _cell(cell) | {"frame": 0, "aid": aid, "element": _element(re.match(r"[A-Za-z]*", name)[0]), "label": name, "x": p[0], "y": p[1], "z": p[2]}
+
+
+def parse_cp2k(lines: Iterator[str]) -> Iterator[dict]:
+    """One frame of a CP2K input or restart: &CELL as A, B, C or ABC with angles, &COORD with units and scaling, &KIND elements, velocities."""
+    path: list[str] = []
+    kinds: dict[str, str] = {}
+    vectors: dict[str, list[float]] = {}
+    lengths, angles, bohr, scaled, kind = None, [90.0, 90.0, 90.0], False, False, ""
+    rows: list[tuple[str, list[float], list[float]]] = []
+    for line in lines:
+        w = re.split(r"[!#]", line)[0].split()
+        if not w:
+            continue
+        head, section = w[0].upper(), path[-1] if path else ""
+        if head.startswith("&END"):
+            path.pop()
+        elif head.startswith("&"):
+            path.append(head[1:])
+            kind = w[1] if head == "&KIND" and len(w) > 1 else kind
+        elif section == "KIND" and head == "ELEMENT":
+            kinds[kind.lower()] = w[1]
+        elif section == "CELL":
+            scale = BOHR if any(x.lower() == "[bohr]" for x in w) else 1.0
+            v = [float(x) * scale for x in w[1:] if not x.startswith("[") and re.match(r"[-+.\d]", x)]
+            if head in "ABC" and len(head) == 1:
+                vectors[head] = v[:3]
+            elif head == "ABC":
+                lengths = v[:3]
+            elif head == "ALPHA_BETA_GAMMA":
+                angles = [float(x) for x in w[1:4]]
+        elif section == "COORD":
+            if head == "UNIT":
+                bohr = "bohr" in line.lower()
+            elif head == "SCALED":
+                scaled = len(w) < 2 or w[1].strip(".").lower() in ("t", "true")
+            elif len(w) >= 4:
+                more = [float(x) for x in w[4:7]] if len(w) >= 7 and all(re.match(r"[-+.\d]", x) for x in w[4:7]) else []
+                rows.append((w[0], [float(x) for x in w[1:4]], more))
+    m = [x for k in "ABC" for x in vectors.get(k, [])] if len(vectors) == 3 else cell_of(*lengths, *angles) if lengths else None
+    if m is None or not rows:
+        raise ValueError("no &CELL or no &COORD")
+    moving = all(v for _, _, v in rows)
+    for aid, (name, v, speed) in enumerate(rows):
+        p = cartesian(v, m) if scaled else [x * (BOHR if bohr else 1.0) for x in v]
+        element = kinds.get(name.lower()) or _element(re.match(r"[A-Za-z]*", name)[0])
+        fast = {f"v{x}": s * BOHR for x, s in zip("xyz", speed, strict=True)} if moving else {}
+        yield _cell(m) | fast | {"frame": 0, "aid": aid, "element": element, "label": name, "x": p[0], "y": p[1], "z": p[2]}
+
+
+PARSERS = {"qe": parse_qe, "cp2k": parse_cp2k, "extxyz": parse_extxyz, "pdb": parse_pdb, "poscar": parse_poscar, "cif": parse_cif, "lammps_data": parse_lammps_data}
 
 
 def read_xyz(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -202,6 +202,13 @@ def test_other_formats(spark, tmp_path):
     data = "LAMMPS\n\n2 atoms\n1 atom types\n0 10 xlo xhi\n0 10 ylo yhi\n1 11 zlo zhi\n\nMasses\n\n1 55.9\n2 1.0 # Hx\n\nAtoms # charge\n\n2 2 0.5 1 1 2\n1 1 -0.5 3 3 3\n\nVelocities\n\n1 1 0 0\n"
     got = text.load(spark, w("d.data", data)).orderBy("aid").collect()
     assert [(r.element, r.charge, r.x, r.z, r.vx) for r in got] == [("Fe", -0.5, 3.0, 2.0, 1.0), ("Hx", 0.5, 1.0, 1.0, None)]
+    qe = "&SYSTEM\n ibrav = 0, nat = 2 ! two\n/\nATOMIC_SPECIES\n Fe1 55.8 Fe.UPF\nCELL_PARAMETERS {bohr}\n 10 0 0\n 0 10 0\n 0 0 10\nATOMIC_POSITIONS {crystal}\n Fe1 0.5 0 0\n O 0 0 0.25\nK_POINTS gamma\n"
+    got = text.load(spark, w("a.in", qe)).orderBy("aid").collect()
+    assert [(r.element, r.label, round(r.x, 6), round(r.z, 6)) for r in got] == [("Fe", "Fe1", 2.645886, 0.0), ("O", "O", 0.0, 1.322943)]
+    cp2k = "&FORCE_EVAL\n&SUBSYS\n&CELL\nABC 10 10 12\n&END CELL\n&COORD\nUNIT bohr\nOw 1 0 0 ! here\nH1 0 2 0\n&END COORD\n&KIND Ow\nELEMENT O\n&END KIND\n&END SUBSYS\n&END FORCE_EVAL\n"
+    got = text.load(spark, w("a.inp", cp2k)).orderBy("aid").collect()
+    assert [(r.element, round(r.x, 6), round(r.y, 6), r.m22) for r in got] == [("O", 0.529177, 0.0, 12.0), ("H", 0.0, 1.058354, 12.0)]
+    assert sinks.output_name("network", "qn", "", "late") == "network_qn_late.csv" and sinks.output_name("gr", "gr", "a") == "gr_a.csv"
     with pytest.raises(FileNotFoundError):
         text.load(spark, str(tmp_path / "none*.xyz"))
     with pytest.raises(ValueError):
