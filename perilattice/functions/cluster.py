@@ -1,9 +1,11 @@
-"""Making this package importable on executors."""
+"""What a cluster needs: this package on the executors, and folders that the driver and all executors share."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +28,13 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that spark.checkpoint.dir names; without it, a temporary one on a single machine, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/perilattice-shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

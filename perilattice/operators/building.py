@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.elements import WEIGHTS, atomic_number, mass_of
+from ..functions.elements import NUMBER, WEIGHTS, atomic_number, mass_of
 from ..functions.geometry import CELL, KEY, once, with_inverse
 
 #: Atomic mass units per cubic Angstrom as g/cm3, and Avogadro's number.
@@ -129,3 +129,58 @@ def oxidation_states(counts: DataFrame, states: DataFrame, charge: int = 0) -> D
     found = found.withColumn("one", F.array_min(F.filter("all", lambda a: a["sum"] == target))).where("one is not null")
     cations = F.zip_with("cations", "one.chosen", lambda c, s: F.struct(c["element"].alias("element"), s.alias("state")))
     return found.select("file", F.explode(F.concat(cations, F.array(F.struct(F.col("an.element").alias("element"), F.col("an.state").cast("int").alias("state"))))).alias("x")).select("file", "x.element", "x.state")
+
+
+#: The atomic numbers that close a period.
+NOBLE = (2, 10, 18, 36, 54, 86)
+
+
+def group_of(z: int) -> int | None:
+    """Group 1 to 18 of the periodic table; lanthanum is in group 3, the other lanthanides and what follows radon in none."""
+    if z == 2 or not 1 <= z <= NOBLE[-1]:
+        return 18 if z == 2 else None
+    last = max((n for n in NOBLE if n < z), default=0)
+    place, size = z - last, next(n for n in NOBLE if n >= z) - last
+    if place <= 2 or size == 18:
+        return place
+    if size == 32:
+        return 3 if place == 3 else place - 14 if place > 17 else None
+    return place + 10
+
+
+def unpaired_electrons(z: int, state: int) -> int:
+    """Unpaired electrons of an ion by Hund's rule: d electrons of a transition metal at high spin, s and p electrons of the others."""
+    group = group_of(z)
+    if group is None:
+        valence = 0
+    else:
+        valence = group - 10 if group >= 13 else group
+    if group is not None and 3 <= group <= 12 and z >= 21:
+        electrons, orbitals = min(max(group - state, 0), 10), 5
+    else:
+        left = (valence - state) % 8
+        if left <= 2:
+            return left % 2
+        electrons, orbitals = left - 2, 3
+    return electrons if electrons <= orbitals else 2 * orbitals - electrons
+
+
+def spin_guess(atoms: DataFrame, states: DataFrame, charge: int = 0) -> DataFrame:
+    """file, n_unpaired, multiplicity and method of each file's first frame: from magmom where atoms have it, else from oxidation states, else by parity.
+
+    A number that doesn't fit the parity of the electrons gives way to the least that does. states: see oxidation_states.
+    """
+    first = atoms.groupBy("file").agg(F.min("frame").alias("frame"))
+    own = atoms.join(first, KEY)
+    electrons = electron_counts(own, charge).select("file", F.pmod("electrons", F.lit(2)).alias("odd"))
+    counts = own.groupBy("file", "element").agg(F.count("*").alias("n"))
+    known = oxidation_states(counts, states, charge).join(counts, ["file", "element"])
+    kinds = [(e, int(s)) for e, s in states.select("element", "state").distinct().collect()]  # a row for each element and state
+    hund = F.coalesce(*[F.when((F.col("element") == e) & (F.col("state") == s), F.lit(unpaired_electrons(NUMBER.get(e, 0), s))) for e, s in kinds], F.lit(0))
+    by_state = known.groupBy("file").agg(F.sum(hund * F.col("n")).alias("by_state"))
+    moment = F.abs(F.sum("magmom")) if "magmom" in atoms.columns else F.lit(None).cast("double")
+    by_moment = own.groupBy("file").agg(F.round(moment).cast("long").alias("by_moment"))
+    out = electrons.join(by_state, "file", "left").join(by_moment, "file", "left").withColumn("n", F.coalesce("by_moment", "by_state", "odd"))
+    method = F.when(F.col("by_moment").isNotNull(), "magmom").when(F.col("by_state").isNotNull(), "oxidation").otherwise("parity")
+    n = F.when(F.col("n") % 2 == F.col("odd"), F.col("n")).otherwise(F.col("odd"))
+    return out.select("file", n.cast("long").alias("n_unpaired"), (n + 1).cast("long").alias("multiplicity"), method.alias("method"))

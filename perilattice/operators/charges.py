@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import CELL, cartesian, nearest_image, once, with_inverse
-from .graph import _checkpointed
+from .graph import checkpointed
 
 SHAPE, AT = ["n0", "n1", "n2"], ["i0", "i1", "i2"]
 #: Neighbours in scan order; of equal ascents the first holds.
@@ -41,10 +41,10 @@ def volumes(grid: DataFrame) -> DataFrame:
     Each round every pointer takes the place of what it points to, so a path of n steps takes log2(n) rounds; rounds are
     written to the checkpoint folder.
     """
-    p = _checkpointed(ascent(grid))
+    p = checkpointed(ascent(grid))
     while True:
         q = p.select("file", F.col("idx").alias("to"), F.col("to").alias("next"))
-        p = _checkpointed(p.join(q, ["file", "to"]).select("file", "idx", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        p = checkpointed(p.join(q, ["file", "to"]).select("file", "idx", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
         if p.where("moved").isEmpty():
             break
         p = p.select("file", "idx", "to")

@@ -287,6 +287,8 @@ round(mass / v * (1e24 / 6.02214076e23), 6) as density, 0::bigint as unknown fro
     "oxidation_states": f"""{_HEAD}, c as (select file, element, count(*) as n from a where frame = 0 and aid < 12 group by all),
 s as (select o.file, si.n as n, min(st) as st from c o join c si on o.file = si.file and o.element = 'O' and si.element = 'Si', (select unnest([2, 4]) as st) where st * si.n = 2 * o.n group by all)
 select file, 'O' as element, -2::int as state from s union all select file, 'Si', st::int from s""",
+    "spin_guess": f"""{_HEAD}, c as (select file, count(*) filter (where element = 'O') as o, count(*) filter (where element = 'Si') as si from a where frame = 0 and aid < 12 group by file)
+select file, 0::bigint as n_unpaired, 1::bigint as multiplicity, case when o > 0 and si > 0 and (2 * o = 4 * si or 2 * o = 2 * si) then 'oxidation' else 'parity' end as method from c""",
     "extxyz_round_trip": f"{_TILT} select file, frame, aid, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a",
     "dump_round_trip": f"{_TILT} select file, frame, aid, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a",
     "poscar_round_trip": f"{_TILT} select file, element, {', '.join(f'round({x}, 6) as {x}' for x in 'xyz')}, m00, m21 from a where frame = 0",

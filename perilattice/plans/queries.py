@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cluster import shared_folder
 from ..operators import building, charges, dynamics, network, selection, structure
 from ..sources import grid, sinks, text
 from .oracles import CUTOFFS, LENGTHS, MODIFIER, ORACLES, STATES, WEIGHTS, XRAY
@@ -95,9 +95,7 @@ def _clusters(s: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(s: SparkSession) -> str:
-    """A new folder that the driver and all executors share."""
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/perilattice-text"
-    return f"{base.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    return shared_folder(s, "round-trip")
 
 
 def _back(rows: DataFrame, *names: str, digits: int = 6, shift: float = 0.0) -> DataFrame:
@@ -259,6 +257,7 @@ QUERIES = {
     "frame_info": _info,
     "electron_counts": lambda s, d: building.electron_counts(cube(s, d)[0], 1),
     "oxidation_states": _oxidation,
+    "spin_guess": lambda s, d: building.spin_guess(cube(s, d)[0].where("aid < 12"), s.createDataFrame(STATES, "element string, electronegativity double, state int")),
     "extxyz_round_trip": _extxyz,
     "dump_round_trip": _dump,
     "poscar_round_trip": _poscar,

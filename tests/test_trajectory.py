@@ -167,6 +167,17 @@ def test_oxidation_states_balance(spark):
     assert {(r.file, r.element, r.state) for r in got} == {("a", "O", -2), ("a", "Si", 4), ("b", "O", -2), ("b", "Fe", 3)}
 
 
+def test_spins(spark):
+    assert [building.group_of(z) for z in (1, 2, 6, 10, 14, 26, 57, 60, 72, 86, 100)] == [1, 18, 14, 18, 14, 8, 3, None, 4, 18, None]
+    got = [building.unpaired_electrons(z, s) for z, s in ((26, 3), (26, 2), (30, 2), (8, -2), (8, 0), (14, 4), (29, 2), (3, 0))]
+    assert got == [5, 4, 0, 0, 2, 0, 1, 1]
+    rows = [("a", 0, i, "Fe", None) for i in range(2)] + [("a", 0, 2 + i, "O", None) for i in range(3)] + [("b", 0, 0, "H", None), ("c", 0, 0, "Fe", 3.8), ("d", 0, 0, "H", 2.0)]
+    atoms = spark.createDataFrame(rows, "file string, frame long, aid long, element string, magmom double")
+    states = spark.createDataFrame([("O", 3.44, -2), ("Fe", 1.83, 2), ("Fe", 1.83, 3)], "element string, electronegativity double, state int")
+    got = {r.file: (r.n_unpaired, r.multiplicity, r.method) for r in building.spin_guess(atoms, states).collect()}
+    assert got == {"a": (10, 11, "oxidation"), "b": (1, 2, "parity"), "c": (4, 5, "magmom"), "d": (1, 2, "magmom")}
+
+
 def test_xyz_and_dump_files(spark, tmp_path):
     (tmp_path / "a.xyz").write_text("2\nc\nFe 0 0 0\nO 1.5 0 0\n2\nc\nFe 0 0 1\nO 1.5 0 1\n")
     atoms = text.read_xyz(spark, str(tmp_path / "a.xyz"))
