@@ -79,3 +79,28 @@ def test_footrule_gain_is_the_distance_from_the_farthest_order():
         for i, row in enumerate(o):
             far = sum(6 - a for a in range(6)) * 2
             assert far - gain[i] == sum(abs(place(q, p) - place(row, p)) for p in range(20))
+
+
+def test_no_vectors_are_broadcast_and_many_query_groups_meet_all_blocks(spark, monkeypatch):
+    """Tables below Spark's own threshold, copied for each slot, once went to the driver to be broadcast."""
+    monkeypatch.setattr(pi, "GROUP", 2)
+    x = np.random.default_rng(9).normal(size=(900, 16)).astype(np.float32)
+    data = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], 3)
+    out = pi.nearest(data, data.where("vec_id % 5 = 0"), block=60, query_block=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    hits = check(out.collect(), x, 5)
+    assert len(hits) == 180 and np.mean(hits) >= 0.9
+
+
+def test_pivots_are_those_of_the_smallest_hashes_whatever_the_bound(spark):
+    x = np.random.default_rng(10).normal(size=(3000, 6)).astype(np.float32)
+    data = frame(spark, [(i % 1000, v.tolist()) for i, v in enumerate(x)], 3)
+    same = frame(spark, [(7, v.tolist()) for v in x[:500]])
+    few = pi.pick_pivots(data, 8, 40, "vec_id", "embedding")
+    from pyspark.sql import functions as F
+
+    rows = data.orderBy(F.xxhash64(F.col("vec_id").cast("string")), "vec_id").limit(42).collect()  # ids come three times
+    held = {tuple(v / np.linalg.norm(v)) for v in np.array([r.embedding for r in rows], float)}
+    assert len(few[6]) == 8 and {tuple(v) for v in few[6]} <= held
+    assert len(pi.pick_pivots(same, 8, 40, "vec_id", "embedding")[6]) == 8
