@@ -86,3 +86,41 @@ def test_awkward_rows(spark):
     got = substring_dedup.repeated_passages(docs).collect()
     assert len(got) == 7 and sorted(r.n_words for r in got) == [0, 0, 1, 70, 70, 70, 60_000]
     assert all(bool(r.spans) == (r.n_words == 70) for r in got if r.n_words < 1000)
+
+
+def changed(p, own, at):
+    return [own(1)[0] if k in at else w for k, w in enumerate(p)]
+
+
+def test_a_passage_links_to_one_that_others_already_hold(spark):
+    """b is like a, and a like many others that b isn't like; a has links to those first."""
+    rng = np.random.default_rng(44)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    texts, want = [], []
+    for _ in range(20):
+        p = own(52)
+        a = changed(p, own, {15})
+        rows = [p] * 60 + [a, changed(a, own, {36})]
+        for k in rng.permutation(len(rows)):
+            texts.append(own(30) + rows[k] + own(30))
+            want.append(int(len(texts) - 1 - (len(texts) - 1) % 62))
+    got, found = links(spark, texts)
+    assert joined(found, len(texts)) == want and all(r.repeated_words for r in got.values())
+
+
+def test_passages_of_every_length_at_the_bound(spark):
+    """Two words changed near each other: a hole, or one with a few shingles left in it; similarity 0.75 or little more, or less."""
+    rng = np.random.default_rng(45)
+    own = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    texts, want = [], set()
+    for n, at in [(50, {24}), (70, {33, 37}), (74, {34, 40}), (74, {33, 40}), (74, {34, 39}), (70, {30, 37}), (109, {50, 54, 58})]:
+        for many in (0, 70):
+            p = own(n)
+            q, k = changed(p, own, at), len(texts)
+            texts += [own(30) + p + own(30), own(30) + q + own(30)]
+            if 4 * len(shingles(p) & shingles(q)) >= 3 * len(shingles(p) | shingles(q)):
+                want.add(frozenset((k, k + 1)))
+            for a in rng.integers(0, n - 33, many):
+                texts.append(own(30) + p[a : a + 34] + own(30))
+    assert len(want) == 12 and links(spark, texts)[1] == want
