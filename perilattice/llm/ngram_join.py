@@ -49,6 +49,15 @@ def set_class(s: np.ndarray) -> int:
     return int(mix(h.sum(dtype=np.uint64, keepdims=True) ^ np.bitwise_xor.reduce(mix(h + np.uint64(1)), keepdims=True)).view(np.int64)[0])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with their low bytes first, then the next ones: small numbers leave runs of zeros, which shuffles compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes, m: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * m, at).reshape(4, m).T).view("<u4").ravel()
+
+
 _ROW = pa.schema([("kind", pa.int32()), ("r", pa.int32()), (UID, pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("data", pa.binary())])
 _SHARED = pa.schema([("kind", pa.int32()), (UID, pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("token", pa.int64()), ("shared", pa.int64())])
 
@@ -63,7 +72,7 @@ def extract(words: int, percent: int, ranges: int):
 
         def flush() -> pa.RecordBatch:
             classes = np.array([c for _, c, _ in held], "<i8")
-            sizes = np.array([n for _, _, n in held], "<i8")
+            sizes = np.array([n for _, _, n in held], "<u4")
             tokens = np.concatenate([t for t, _, _ in held])
             who = np.repeat(np.arange(len(held), dtype="<u4"), [len(t) for t, _, _ in held])
             key = mix(tokens + np.uint64(0x51))  # the prefix has the smallest hashes, so ranges come from another one
@@ -75,9 +84,9 @@ def extract(words: int, percent: int, ranges: int):
             for k in range(ranges):
                 own = by[cut[k] : cut[k + 1]]
                 if len(own):
-                    docs, local = np.unique(who[own], return_inverse=True)
+                    docs, count = np.unique(who[own], return_counts=True)  # own is in order of documents
                     head = np.array([len(docs), len(own)], "<i8").tobytes()
-                    rows.append((k, head + classes[docs].tobytes() + sizes[docs].tobytes() + tail[own].tobytes() + local.astype("<u4").tobytes()))
+                    rows.append((k, head + classes[docs].tobytes() + planes(sizes[docs]) + planes(count) + tail[own].tobytes()))
             held.clear()
             m = len(rows)
             none = pa.nulls(m, pa.int64())
@@ -114,11 +123,10 @@ def reduce_range(group: pa.Table) -> pa.Table:
         if chunk is None:
             continue
         m, k = np.frombuffer(chunk, "<i8", 2)
-        cls, n = np.frombuffer(chunk, "<i8", m, 16), np.frombuffer(chunk, "<i8", m, 16 + 8 * m)
+        count = from_planes(chunk, m, 16 + 12 * m)
+        classes.append(np.repeat(np.frombuffer(chunk, "<i8", m, 16), count))
+        sizes.append(np.repeat(from_planes(chunk, m, 16 + 8 * m).astype("<i8"), count))
         tokens.append(np.frombuffer(chunk, "<u4", k, 16 + 16 * m))
-        local = np.frombuffer(chunk, "<u4", k, 16 + 16 * m + 4 * k)
-        classes.append(cls[local])
-        sizes.append(n[local])
     out = {"kind": docs.column("kind").to_pylist(), UID: docs.column(UID), "doc_id": docs.column("doc_id"), "n": docs.column("n"), "cls": docs.column("cls")}
     none = pa.nulls(len(docs), pa.int64())
     first = pa.table([pa.array(out["kind"], pa.int32()), out[UID], out["doc_id"], out["n"], out["cls"], none, none], schema=_SHARED)
@@ -193,9 +201,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     many = pairs.groupBy("a").count()
     blocks = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / BLOCK)).alias("salt"))
     named = sets.select(F.col("cls").alias("b"), "data")
-    members = blocks.join(named, "b").select("a", "salt", "b", "data", F.lit(1).alias("member"))
-    centres = blocks.select("a", "salt").distinct().join(named.withColumnRenamed("b", "a"), "a").select("a", "salt", F.col("a").alias("b"), "data", F.lit(0).alias("member"))
-    rows = members.union(centres).repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
+    centres = blocks.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("b"), F.lit(0).alias("member"))
+    wanted = blocks.select("a", "salt", "b", F.lit(1).alias("member")).union(centres)  # one join, so the sets are dealt once
+    rows = wanted.join(named, "b").select("a", "salt", "b", "data", "member").repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, probe, names, held = None, None, [], []
@@ -243,6 +251,15 @@ def fresh(order: Column, head_a: Column, head_b: Column) -> Column:
     return F.coalesce(F.array_min(F.array_intersect(head_a, head_b)) >= order, F.lit(True))
 
 
+def only_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose UID is among the wanted ones, without dealing rows out: a bit for each row, in blocks of 4096, goes to all tasks."""
+    words = wanted.groupBy(F.shiftright(UID, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({UID} & 63 as int)))").alias("bits"))
+    held = words.groupBy(F.shiftright("w", 6).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").bitwiseAND(63).cast("int"), "bits"))).alias("m"))
+    marks = materialize(held.select("block", F.expr("transform(sequence(0, 63), i -> coalesce(m[i], 0L))").alias("marks")), "jaccard-marks")
+    bit = F.expr(f"(shiftright(marks[cast(shiftright({UID}, 6) & 63 as int)], cast({UID} & 63 as int)) & 1L) = 1L")
+    return rows.join(F.broadcast(marks), (F.shiftright(UID, 12) == F.col("block")) & bit, "left_semi")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of docs: uid, doc_id, n_shingles, component_id.
 
@@ -262,20 +279,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that both heads show, so many shared shingles don't repeat a pair. A frequent shingle's rows are salted. Centres go
     by a hash of the class, so a group's shingles choose alike, and no pair
     is verified twice. Verification walks a prefix tree over each centre's partners, in bounded blocks.
+    Texts are never dealt out: those whose sets are compared are picked where they are read, by a bit for each row, and
+    what goes through shuffles is their postings and, by pair, sets.
     Classes are named by 64-bit hashes of their sets. docs is read twice and must give its rows in the same order.
     """
     spark = docs.sparkSession
-    ranges = max(2 * partitions(spark), text_bytes(docs, text_col) // RANGE_BYTES)
+    ranges = max(partitions(spark), text_bytes(docs, text_col) // RANGE_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias(UID), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packed = rows.mapInArrow(extract(words, percent, ranges), f"kind int, r int, {UID} long, doc_id long, n long, cls long, data binary")
     both = materialize(packed.groupBy("r").applyInArrow(reduce_range, f"kind int, {UID} long, doc_id long, n long, cls long, token long, shared long"), "jaccard-postings")
-    info = both.where("kind = 0").select(UID, "doc_id", "n", "cls")
+    info = materialize(both.where("kind = 0").select(UID, "doc_id", "n", "cls"), "jaccard-rows")
     shared = both.where("kind = 1").select("n", "cls", "token", "shared")
 
     least = F.lit(1) + F.expr(f"((n * {percent} + 99) div 100) div 5")
     kept = shared.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("shared", "token"))).alias("t")).withColumn("least", least).where(F.size("t") >= F.col("least"))
     posts = kept.select("cls", "n", F.explode(F.slice("t", F.lit(1), (F.size("t") - F.col("least") + 1).cast("int"))).alias("t")).select("cls", "n", F.col("t.token").alias("token"))
     posts = materialize(posts, "jaccard-posts")
+    release(both)
     # tokens that the same classes post propose the same pairs: one of them stands for all
     whose = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("f"), F.sum(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 31))).alias("g"))
     alive = whose.where("m > 1").groupBy("m", "f", "g").agg(F.min("token").alias("token")).select("token")
@@ -285,15 +305,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     comps = None
     if some["n"]:
-        wanted = info.join(posts.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(UID).alias(UID))
+        wanted = info.join(posts.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(UID).alias(UID)).select(UID)
 
         def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [shingle_set(t.as_py(), words).astype("<u8") for t in batch.column(1)]
+                found = [shingle_set(t.as_py(), words).astype("<u8") for t in batch.column(0)]
                 signs = np.array([signature(s) for s in found], "<i8").reshape(-1, len(SIGNS))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), *map(pa.array, signs.T.copy())], names=["cls", "data", *SIGNS])
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_class, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), *map(pa.array, signs.T.copy())], names=["cls", "data", *SIGNS])
 
-        sets = materialize(rows.join(wanted, UID).select("cls", "text").mapInArrow(sets_of, "cls long, data binary, " + ", ".join(f"{c} long" for c in SIGNS)), "jaccard-sets")
+        sets = materialize(only_rows(rows, wanted).select("text").mapInArrow(sets_of, "cls long, data binary, " + ", ".join(f"{c} long" for c in SIGNS)), "jaccard-sets")
         own, theirs = [F.col(c) for c in SIGNS], [F.col(f"a{c}") for c in SIGNS]
         heads = posts.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.xxhash64("token"))), 1, HEAD).alias("head"))
         posted = posts

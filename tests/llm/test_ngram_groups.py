@@ -64,3 +64,36 @@ def test_a_third_of_all_rows_in_one_family_and_awkward_rows(spark):
     assert got.count() == len(rows) and got.where("component_id = 0").count() == 123
     assert sorted((r.doc_id, r.component_id) for r in got.where(F.col("doc_id").isin(500, 501)).collect()) == [(500, 500), (501, 501)]
     assert [r.component_id for r in got.where("n_shingles = 1").collect()] == [None]
+
+
+def test_texts_are_not_shuffled_and_postings_take_few_bytes(spark, tmp_path):
+    """Near copies among many others, joins by shuffle only: less is written to shuffles than half of the texts' bytes."""
+    rng = np.random.default_rng(33)
+    texts = [" ".join(f"w{x}" for x in rng.integers(10**9, size=400)) for _ in range(1500)]
+    texts += [f"{t} once more" for t in texts[:20]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store = spark.sparkContext._jsc.sc().statusStore()
+        nothing = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, nothing, spark.sparkContext._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before, least = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert got == {i: i - 1500 if i >= 1500 else i for i in range(1520)}
+    written = sum(n for k, n in shuffled().items() if k not in before)
+    assert written < sum(map(len, texts)) / 2
+
+
+def test_rows_are_picked_across_blocks_and_partitions(spark):
+    rows = spark.range(0, 20000, 1, 3).select(F.monotonically_increasing_id().alias(ngram_join.UID), "id")
+    wanted = [r[0] for r in rows.where("id % 63 = 0 or id between 4090 and 4230 or id = 19999").select(ngram_join.UID).collect()]
+    picked = ngram_join.only_rows(rows, spark.createDataFrame([(x,) for x in wanted], f"{ngram_join.UID} long"))
+    assert sorted(r[0] for r in picked.select(ngram_join.UID).collect()) == sorted(wanted)
+    assert ngram_join.only_rows(rows, rows.where("id < 0").select(ngram_join.UID)).count() == 0
