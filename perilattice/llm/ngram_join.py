@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, materialize_counted, mix, partitions, release, shingle_hashes, text_bytes, word_hashes
+from .common import hand_back, materialize, materialize_counted, mix, partitions, release, shingle_hashes, text_bytes, tidy, word_hashes
 from .graph import components
 
 UID = "__x6_uid"
@@ -147,6 +147,12 @@ def reduce_range(group: pa.Table) -> pa.Table:
     return pa.concat_tables([first, second])
 
 
+def reduced(group: pa.Table) -> pa.Table:
+    out = reduce_range(group)
+    hand_back()
+    return out
+
+
 def linked(size_a: int, size_b: int, overlap: int, percent: int) -> bool:
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
@@ -231,7 +237,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -286,8 +292,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ranges = max(partitions(spark), text_bytes(docs, text_col) // RANGE_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias(UID), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = rows.mapInArrow(extract(words, percent, ranges), f"kind int, r int, {UID} long, doc_id long, n long, cls long, data binary")
-    both = materialize(packed.groupBy("r").applyInArrow(reduce_range, f"kind int, {UID} long, doc_id long, n long, cls long, token long, shared long"), "jaccard-postings")
+    packed = rows.mapInArrow(tidy(extract(words, percent, ranges)), f"kind int, r int, {UID} long, doc_id long, n long, cls long, data binary")
+    both = materialize(packed.groupBy("r").applyInArrow(reduced, f"kind int, {UID} long, doc_id long, n long, cls long, token long, shared long"), "jaccard-postings")
     info = materialize(both.where("kind = 0").select(UID, "doc_id", "n", "cls"), "jaccard-rows")
     shared = both.where("kind = 1").select("n", "cls", "token", "shared")
 
@@ -313,7 +319,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 signs = np.array([signature(s) for s in found], "<i8").reshape(-1, len(SIGNS))
                 yield pa.RecordBatch.from_arrays([pa.array(map(set_class, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), *map(pa.array, signs.T.copy())], names=["cls", "data", *SIGNS])
 
-        sets = materialize(only_rows(rows, wanted).select("text").mapInArrow(sets_of, "cls long, data binary, " + ", ".join(f"{c} long" for c in SIGNS)), "jaccard-sets")
+        sets = materialize(only_rows(rows, wanted).select("text").mapInArrow(tidy(sets_of), "cls long, data binary, " + ", ".join(f"{c} long" for c in SIGNS)), "jaccard-sets")
         own, theirs = [F.col(c) for c in SIGNS], [F.col(f"a{c}") for c in SIGNS]
         heads = posts.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.xxhash64("token"))), 1, HEAD).alias("head"))
         posted = posts

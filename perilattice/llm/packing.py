@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import encoder, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -54,11 +55,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if size > 8 << 20:
                     yield to_batch(rows)
                     rows, size = [], 0
+        enc.forget()
         if rows:
             yield to_batch(rows)
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(pack, SCHEMA)
+    return out.mapInArrow(tidy(pack), SCHEMA)
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
